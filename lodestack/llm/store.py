@@ -1,0 +1,52 @@
+"""Tables and folders in the shared folder of the cluster (``spark.checkpoint.dir``), and size-checked filters."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Id tables of at most this many rows (16 MB of longs) are broadcast; longer ones are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = getattr(shared_folder, "own", None)
+        if base is None:
+            base = shared_folder.own = tempfile.mkdtemp(prefix="lodestack-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/lodestack/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", rows: int | None = None) -> DataFrame:
+    """Semi or anti join of ``df`` with a one-column table of ids; the ids are broadcast only if they are few.
+
+    ``rows``: their number, if known.  Beyond BROADCAST_IDS the same join goes through a shuffle.
+    """
+    rows = ids.count() if rows is None else rows
+    ids = ids.select(ids[ids.columns[0]].alias("__key"))
+    right = F.broadcast(ids) if rows <= BROADCAST_IDS else ids
+    return df.join(right, df[key] == right["__key"], how)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body, or a lambda in it, reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
