@@ -32,8 +32,8 @@ from . import hashing
 from .store import keep_ids, written
 
 ROWS, BANDS = 5, 32
-#: A pair of similarity 0.8 has at least this share of equal 8-bit coordinates but with probability under 1e-9.
-LEAST_AGREEMENT = 0.58
+#: A pair of similarity 0.8 has less than this share of equal 8-bit coordinates with probability 5e-6.
+LEAST_AGREEMENT = 0.66
 BLOCK = 512
 EMPTY = 0xFFFFFFFF
 
@@ -95,8 +95,9 @@ def _sets(k: int):
             ids = batch.column(0)
             for low, high, data, offsets in hashing.text_slices(batch.column(1)):
                 values, bounds = hashing.shingle_sets(hashing.split_words(data, offsets, lower=True), k)
-                short = (signatures(values, bounds) & np.uint32(0xFF)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), _lists(values.view(np.int64), bounds), pa.array([x.tobytes() for x in short], pa.binary())], ["id", "shingles", "short"])
+                found = signatures(values, bounds)
+                short, bands = (found & np.uint32(0xFF)).astype(np.uint8), band_keys(found)
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), _lists(values.view(np.int64), bounds), pa.array([x.tobytes() for x in short], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], ["id", "shingles", "short", "bands"])
 
     return run
 
@@ -107,18 +108,23 @@ def _may_link(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["id", "side"])
         a, b = group[group.side != 1], group[group.side != 0]  # 2: the part meets itself
-        theirs = np.frombuffer(b"".join(b.short), np.uint8).reshape(len(b), -1)
-        comps, sizes, n = b.comp.to_numpy(), b.members.to_numpy(), b.n.to_numpy()
+        table = lambda column, kind: np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+        x, y = table(a.short, np.uint8), table(b.short, np.uint8)
+        equal = np.zeros((len(a), len(b)), np.uint16)
+        for j in range(x.shape[1]):
+            equal += x[:, j, None] == y[None, :, j]
+        n, m = a.n.to_numpy()[:, None], b.n.to_numpy()[None, :]
+        near = (equal >= LEAST_AGREEMENT * x.shape[1]) & (a.comp.to_numpy()[:, None] != b.comp.to_numpy()[None, :])
+        near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        i, j = np.nonzero(near)
+        # a pair counts in the first bucket it shares only
+        mine, theirs = table(a.bands, np.int64)[i], table(b.bands, np.int64)[j]
+        first = mine[np.arange(len(i)), np.argmax(mine == theirs, axis=1)] == group.bucket.iat[0]
+        left, right = a.iloc[i[first]], b.iloc[j[first]]
         out = set()
-        for x in a.itertuples():
-            near = (comps != x.comp) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n))
-            if near.any():
-                at = np.flatnonzero(near)
-                at = at[(theirs[at] == np.frombuffer(x.short, np.uint8)).mean(axis=1) >= LEAST_AGREEMENT]
-                for i in at.tolist():
-                    mine_first = (x.members, x.comp) < (sizes[i], comps[i])
-                    out.add((x.id, int(comps[i])) if mine_first else (int(b.id.iat[i]), x.comp))
-        return pd.DataFrame(sorted(out), columns=["u", "comp"])
+        for u, u_size, u_comp, v, v_size, v_comp in zip(left.id, left.members, left.comp, right.id, right.members, right.comp, strict=True):
+            out.add((u, v_comp) if (u_size, u_comp) < (v_size, v_comp) else (v, u_comp))
+        return pd.DataFrame(sorted(out), columns=["u", "comp"]).astype("int64")
 
     return run
 
@@ -191,7 +197,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     hubs = members.join(scores, "id").groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
     pairs = members.join(hubs, "bucket").filter("id <> hub").select("id", "hub").distinct()
     ids = scores.select("id")
-    sets = written(keep_ids(source, "doc_id", ids).mapInArrow(_sets(shingle_words), "id long, shingles array<long>, short binary"), "sets")
+    sets = written(keep_ids(source, "doc_id", ids).mapInArrow(_sets(shingle_words), "id long, shingles array<long>, short binary, bands binary"), "sets")
     mine, theirs = sets.select("id", "shingles"), sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles"))
     common = F.size(F.array_intersect("shingles", "hub_shingles"))
     links = written(
@@ -210,12 +216,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     rest = (
         labelled.join(open_, "bucket")
         .join(sizes, "comp", "left")
-        .join(sets.select("id", "short"), "id")
-        .select("bucket", "id", "n", "comp", F.coalesce("members", F.lit(1)).alias("members"), "short", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+        .join(sets.select("id", "short", "bands"), "id")
+        .select("bucket", "id", "n", "comp", F.coalesce("members", F.lit(1)).alias("members"), "short", "bands", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
     )
     # every part of a bucket meets itself and each later part
     met = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side"), "id", "n", "comp", "members", "short")
+    met = met.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side"), "id", "n", "comp", "members", "short", "bands")
     maybe = written(met.groupBy("bucket", "p", "q").applyInPandas(_may_link(percent), "u long, comp long").distinct(), "maybe")
 
     queries = maybe.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_parts"))
