@@ -5,20 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dup
+from . import chat, fingerprint, license_scan, mixing, near_dup, pii, quality, sentencepiece, toxicity, warc
+
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def piece_model(folder: str = TOKENIZERS) -> str:
+    return f"{folder}/piece_bpe_32k.model"
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    shown = F.transform("matches", lambda m: F.concat_ws(":", m["license"], F.format_number(m["coverage"], 3), m["start"], m["stop"]))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_licenses"), F.array_join(shown, ",").alias("licenses"))
+
+
+def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_archive(_table(spark, sf_dir, "pages")).read()
+
+
+def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_personal_data(docs, pii.disclosing_terms(docs))
+    return found.select("doc_id", *[f"__pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")], F.sha2(F.coalesce("__pii.clean", F.lit("")), 256).alias("clean_sha256"))
+
+
+def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprint.compare_with_next(_table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.shown(F.col("sketch")).alias("fingerprint"), fingerprint.shown(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), fingerprint.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprint.distinct_shingles(F.col("sketch")).alias("n_shingles_estimate"), fingerprint.containment(F.col("sketch"), F.col("edited_sketch")).alias("in_edited"),
+    )
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))], rows.schema)
+    messages = rows.union(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    return chat.read_back(chat.format_conversations(messages))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = quality.log_ratios(docs, _table(spark, sf_dir, "labels"))
+    return quality.quality(docs, ratios).select("doc_id", *[f"__quality.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")])
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(_table(spark, sf_dir, "documents"), piece_model(), digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_minhash_near_dedup": op6_minhash_near_dedup}
+    found = (op1_license_scan, op2_warc_capture_index, op3_pii_sanitisation, op4_bottom_k_fingerprints, op5_chat_formatting, op6_minhash_near_dedup, op7_quality_rules, op8_source_mixing, op9_toxicity, op10_sentencepiece)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
