@@ -114,7 +114,8 @@ def _contexts(text: Column, kind: str) -> Column:
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> dict[str, str]:
     """Term to "general" or "removed", from co-occurrence counts over all documents."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    near = docs.select(F.explode(F.concat(*[F.transform(_contexts(text, kind), lambda w, kind=kind: F.struct(F.lit(kind).alias("kind"), w.alias("term"))) for kind in KINDS])).alias("x")).select("x.*")
+    of = lambda kind: F.transform(_contexts(text, kind), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("term")))
+    near = docs.select(F.explode(F.concat(*map(of, KINDS))).alias("x")).select("x.*")
     counts = near.groupBy("kind", "term").agg(F.count("*").alias("n"))
     slots = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     least = {kind: max(LEAST_SUPPORT, -(-n // SUPPORT_SHARE)) for kind, n in slots.items()}
@@ -196,7 +197,8 @@ def find_personal_data(docs: DataFrame, terms: dict[str, str], text_col: str = "
 
     def described(b: Column) -> Column:
         every = F.sort_array(F.concat(b["base"], term_spans(b["text"], b["base"], terms)))
-        counts = [F.size(F.filter(b["base"], lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+        of = lambda n: F.size(F.filter(b["base"], lambda s: s["kind"] == n)).cast("long")
+        counts = [of(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
         return let(every, lambda e: F.struct(*counts, F.sha2(_listed(b["base"]), 256).alias("base_sha256"), _listed(e).alias("spans"), _sanitised(b["text"], e).alias("clean")))
 
     return docs.withColumn("__pii", let(text, lambda t: let(F.struct(t.alias("text"), base_spans(t).alias("base")), described)))
