@@ -4,7 +4,8 @@ A source's target over its size gives each of its documents the same expected nu
 get, and an inclusion probability for one copy more.  The flight phase moves the probabilities of three documents at a
 time along the null space of the two balance constraints (words, documents) until one of them is 0 or 1.  Chunks of a
 source fly apart; each leaves at most two or three open documents, which fly again together, so the landing problem is of
-fixed size: at most LANDING documents a source, rounded so that the source's words come nearest to its target.
+fixed size: the two documents a source that are left open are rounded so that the source's words come nearest to its
+target, and a few exchanges among the last chunk's documents may bring them nearer still.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 CHUNK = 256
 SMALL = 1e-9
+EXCHANGES = 8
 
 
 def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -50,13 +52,30 @@ def fly(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Round the few open probabilities so that the words come nearest to their expectation, then the documents."""
+    """Round the few open probabilities so that the words come nearest to their expectation, then the documents.
+
+    Then, up to EXCHANGES times, the exchange of a taken and an untaken document (or the change of one) that brings the
+    words nearest is made, if any brings them nearer.
+    """
     p = p.copy()
+    words, count = float((size * p).sum()), float(p.sum())
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if len(open_):
-        words, count = float((size * p)[open_].sum()), float(p[open_].sum())
-        choice = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(float(np.dot(size[open_], x)) - words), abs(sum(x) - count), x))
+        fixed = float(size[p == 1].sum()), float((p == 1).sum())
+        choice = min(product((0.0, 1.0), repeat=len(open_)), key=lambda x: (abs(fixed[0] + float(np.dot(size[open_], x)) - words), abs(fixed[1] + sum(x) - count), x))
         p[open_] = choice
+    for _ in range(EXCHANGES):
+        off = float((size * p).sum()) - words
+        out, in_ = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        alone = np.abs(off + size * (1 - 2 * p))
+        both = np.abs(off + size[in_][None, :] - size[out][:, None]) if len(in_) and len(out) else np.full((1, 1), np.inf)
+        if min(alone.min(initial=np.inf), both.min()) >= abs(off) - SMALL:
+            break
+        if both.min() <= alone.min():
+            i, j = np.unravel_index(np.argmin(both), both.shape)
+            p[out[i]], p[in_[j]] = 0.0, 1.0
+        else:
+            p[np.argmin(alone)] = 1 - p[np.argmin(alone)]
     return p
 
 
@@ -66,14 +85,21 @@ FIELDS = "source string, doc_id long, size long, row long, p double"
 def _flight(group: pd.DataFrame) -> pd.DataFrame:
     # the largest fly first, so that the few left open are small
     group = group.sort_values(["size", "row", "doc_id"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
+    if not len(group):
+        return group[["source", "doc_id", "size", "row", "p"]]
     seed = int(group["size"].sum()) * 1_000_003 + len(group)
     group["p"] = fly(group["size"].to_numpy(float), group.p.to_numpy(float), np.random.default_rng(seed))
     return group[["source", "doc_id", "size", "row", "p"]]
 
 
 def _landing(group: pd.DataFrame) -> pd.DataFrame:
-    group = _flight(group)
-    group["p"] = land(group["size"].to_numpy(float), group.p.to_numpy(float))
+    """Last flight and landing of a source's open documents, or of a small source as a whole; documents whose p is 0 or 1 already stay as they are."""
+    fixed = group.p.isin((0.0, 1.0))
+    group = pd.concat([group[fixed], _flight(group[~fixed])])[["source", "doc_id", "size", "row", "p"]].reset_index(drop=True)
+    free = np.arange(len(group)) >= fixed.sum()
+    p = group.p.to_numpy(float)
+    p[free] = land(group["size"].to_numpy(float)[free], p[free])
+    group["p"] = p
     return group
 
 
@@ -111,18 +137,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     rows = written(sized(docs, id_col, source_col, text_col), "sizes")
     stats = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     goal = targets([(r.source, r.size) for r in stats])
-    shares = [(r.source, r.size, float(goal[r.source]), min(MOST_COPIES, goal[r.source] / r.size) if r.size else 0.0, -(-r.n // CHUNK)) for r in stats]
+    shares = [(r.source, r.size, float(goal[r.source]), float(min(MOST_COPIES, goal[r.source] / r.size)) if r.size else 0.0, -(-r.n // CHUNK)) for r in stats]
     table = spark.createDataFrame(shares, "of string, source_size long, target double, ratio double, chunks int")
     own = rows.join(table, rows["source"].eqNullSafe(table["of"])).drop("of")
-    own = own.withColumn("whole", F.floor(F.col("ratio") + F.lit(SMALL)).cast("int")).withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
+    own = own.withColumn("whole", F.floor(F.col("ratio") + F.lit(SMALL)).cast("int")).withColumn("p", F.when(F.col("ratio") - F.col("whole") > 1e-6, F.col("ratio") - F.col("whole")).otherwise(F.lit(0.0)))
     numbered = own.withColumn("row", F.xxhash64("doc_id", "size"))
-    chunked = numbered.select("source", "doc_id", "size", "row", "p", F.pmod("row", "chunks").alias("chunk"))
+    chunked = numbered.select("source", "doc_id", "size", "row", "p", F.pmod("row", "chunks").alias("chunk"), "chunks")
 
-    flown = written(chunked.groupBy("source", "chunk").applyInPandas(_flight, FIELDS), "flown")
-    done, left = [flown.filter("p = 0 or p = 1")], flown.filter("p > 0 and p < 1")
+    flown = written(chunked.filter("chunks > 1").groupBy("source", "chunk").applyInPandas(_flight, FIELDS), "flown")
+    small = chunked.filter("chunks <= 1").select(*flown.columns)
+    done, left = [flown.filter("p = 0 or p = 1")], flown.filter("p > 0 and p < 1").union(small)
     while True:
         counts = {r.source: r.n for r in left.groupBy("source").agg(F.count("*").alias("n")).collect()}
-        most = max(counts.values(), default=0)
+        most = max(counts.values(), default=0)  # a small source has at most CHUNK documents
         if most <= CHUNK:
             done.append(left.groupBy("source").applyInPandas(_landing, FIELDS) if most else left)
             break
