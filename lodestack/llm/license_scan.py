@@ -85,16 +85,17 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
                 continue
             options = [(score[i - 1, d + 1] - 1, 2)] if d + 1 < width else []
             if j >= 1 and template[i - 1] == text[j - 1]:
-                options.append((score[i - 1, d] + 2, 1))
+                options.append((score[i - 1, d] + 2, 3))
             if d >= 1 and j >= 1:
-                options.append((score[i, d - 1] - (1 if i < len(template) else 0), 3))
+                options.append((score[i, d - 1] - (1 if i < len(template) else 0), 1))
             if options:
                 score[i, d], back[i, d] = max(options)
-    i, d = len(template), int(np.argmax(score[-1]))
+    best = np.flatnonzero(score[-1] == score[-1].max())
+    i, d = len(template), int(best[np.argmin(np.abs(best - band))])  # of equal ones that nearest the diagonal
     matched, first, last, gaps = 0, -1, -1, 0
     while i > 0 and back[i, d]:
         j = i + low + d
-        if back[i, d] == 1:
+        if back[i, d] == 3:
             matched, first = matched + 1, j - 1
             last = j - 1 if last < 0 else last
             i -= 1
