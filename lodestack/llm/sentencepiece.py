@@ -177,6 +177,8 @@ class Model:
 
     def segment(self, chunks: list[str]) -> list[np.ndarray]:
         """Best piece ids of each chunk: the greatest sum of scores; of equal ones that whose last piece is longest, and so on back."""
+        if not chunks:
+            return []
         if any(len(c) > LONG for c in chunks):
             rest = iter(self.segment([c for c in chunks if len(c) <= LONG]))
             return [self.segment_long(c) if len(c) > LONG else next(rest) for c in chunks]
