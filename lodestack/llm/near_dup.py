@@ -35,6 +35,7 @@ ROWS, BANDS = 5, 32
 #: A pair of similarity 0.8 has less than this share of equal 8-bit coordinates with probability 5e-6.
 LEAST_AGREEMENT = 0.66
 BLOCK = 512
+PAIRS_AT_ONCE = 1 << 15
 EMPTY = 0xFFFFFFFF
 
 
@@ -108,15 +109,25 @@ def _may_link(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["id", "side"])
         a, b = group[group.side != 1], group[group.side != 0]  # 2: the part meets itself
-        table = lambda column, kind: np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
-        x, y = table(a.short, np.uint8), table(b.short, np.uint8)
-        equal = np.zeros((len(a), len(b)), np.uint16)
-        for j in range(x.shape[1]):
-            equal += x[:, j, None] == y[None, :, j]
         n, m = a.n.to_numpy()[:, None], b.n.to_numpy()[None, :]
-        near = (equal >= LEAST_AGREEMENT * x.shape[1]) & (a.comp.to_numpy()[:, None] != b.comp.to_numpy()[None, :])
+        near = a.comp.to_numpy()[:, None] != b.comp.to_numpy()[None, :]
         near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        if group.p.iat[0] == group.q.iat[0]:
+            near = np.triu(near)  # the part meets itself: each pair once
+        if not near.any():
+            return pd.DataFrame({"u": [], "comp": []}, dtype="int64")
+        table = lambda column, kind: np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+        x, y = table(a.short, np.uint8), table(b.short, np.uint8)
         i, j = np.nonzero(near)
+        if len(i) <= PAIRS_AT_ONCE:
+            equal = np.count_nonzero(x[i] == y[j], axis=1)
+        else:
+            all_ = np.zeros(near.shape, np.uint16)
+            for c in range(x.shape[1]):
+                all_ += x[:, c, None] == y[None, :, c]
+            equal = all_[i, j]
+        close = equal >= LEAST_AGREEMENT * x.shape[1]
+        i, j = i[close], j[close]
         # a pair counts in the first bucket it shares only
         mine, theirs = table(a.bands, np.int64)[i], table(b.bands, np.int64)[j]
         first = mine[np.arange(len(i)), np.argmax(mine == theirs, axis=1)] == group.bucket.iat[0]
