@@ -7,12 +7,12 @@ executors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import mixing, near_dup, pii, quality, sentencepiece
 from lodestack.llm.queries import piece_model
-from lodestack.llm.store import keep_ids, written
+from lodestack.llm.store import BROADCAST_IDS, keep_ids, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,18 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated so that the sources' words come near their targets."""
-    copies = written(mixing.mix(docs).select("doc_id", "copies"), "copies")
-    key = copies.select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    repeated = docs.join(key, docs["doc_id"].eqNullSafe(key["__id"])).withColumn("__n", F.explode(F.expr("if(__copies > 0, sequence(1, __copies), array())")))
-    return repeated.select(*docs.columns)
+    copies = written(mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")), "copies")
+    key = copies.withColumnRenamed("doc_id", "__id")
+    rows = docs.join(key.filter("__n = 1"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    shared = key.filter("__n > 1")
+    n_shared = shared.count()
+    if n_shared:  # rows of one doc_id, or of none, share its copies evenly
+        shared = F.broadcast(shared) if n_shared <= BROADCAST_IDS else shared
+        same = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")))
+        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source"))
+        each = F.floor(F.col("__copies") / F.col("__n")) + (place <= F.col("__copies") % F.col("__n")).cast("long")
+        rows = rows.unionByName(same.withColumn("__copies", each))
+    return rows.withColumn("__copy", F.explode(F.expr("if(__copies > 0, sequence(1L, __copies), array())"))).select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,10 +10,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestack.llm import chat, near_dup, quality, warc
+from lodestack.llm import chat, mixing, near_dup, quality, warc
 from lodestack.llm.queries import op2_warc_capture_index, op5_chat_formatting
 
 from ..conftest import SF
+from .cases import awkward
 
 
 def brute_pages(rows, least=0):
@@ -157,3 +158,25 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_pipeline_of_awkward_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    rows = awkward(spark)
+    extra = rows.select(*docs.columns, "id", "score", "n", "key")
+    docs = docs.withColumns({"id": F.lit("clash"), "score": F.lit(0.5), "n": F.lit(7).cast("long"), "key": F.lit(None).cast("string")}).unionByName(extra.withColumn("doc_id", F.col("doc_id") + 10**6))
+    total = docs.count()
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    for stage in stages[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+    assert stages[2](spark, docs, SF).count() == total
+    kept = stages[1](spark, docs, SF)
+    assert kept.filter("doc_id is null").count() == 2  # without an id nothing is a known copy
+    mixed = stages[3](spark, docs, SF)
+    assert mixed.groupBy("doc_id", "text").count().filter("count > 9").count() == 0
+    want = mixing.mix(docs).agg(F.sum("copies")).first()[0]
+    assert mixed.count() == want
+    for stage in stages:
+        docs = stage(spark, docs, SF)
+    assert docs.count() > 0
