@@ -522,6 +522,13 @@ def cluster_tree(spark, sf_dir):
     return node.join(cluster.node_labels(bridge, vector).withColumnRenamed("node_id", "id"), "id")
 
 
+@query()
+def threshold_components(spark, sf_dir):
+    """Nested components of the benchmark items."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
+    return cluster.threshold_tree(item_vectors(spark, sf_dir), items)
+
+
 @query(r"SELECT doc_id AS id, unnest(range(0, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))) AS pos FROM documents")
 def term_positions(spark, sf_dir):
     return term_rows(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.col("pos").cast("long").alias("pos"))

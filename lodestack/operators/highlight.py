@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from html import escape
 
@@ -10,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import analyze, fold, query_terms, utf16_offset
+from ..functions.text import analyze, fold, query_terms, utf8_offset, utf16_offset
 from ..plans.ast import And, Fuzzy, Not, Or, Prefix, Proximity, Query, Regex
 
 MOST_PASSAGES, MOST_SNIPPETS, SNIPPET_CHARS = 1000, 2, 80
@@ -145,3 +146,13 @@ def snippet_documents(docs: DataFrame, query: Query) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "snippets", "html"])
 
     return docs.select("id", "text").mapInPandas(run, "id long, snippets array<struct<begin:int,end:int,highlights:array<struct<begin:int,end:int>>>>, html string")
+
+
+def highlight_json(text: str, query: Query) -> str:
+    """``[[begin,end],...]`` in UTF-16 units."""
+    return json.dumps([list(span) for span in highlights(text, query)], separators=(",", ":"))
+
+
+def utf8_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Code-point spans as spans of UTF-8 bytes."""
+    return [(utf8_offset(text, a), utf8_offset(text, b)) for a, b in spans]

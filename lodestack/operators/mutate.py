@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import number_of, pack
 
-#: The tag colours, by hash of the name.
-PALETTE = [f"{r:02x}{g:02x}{b:02x}" for r in (64, 144, 224) for g in (64, 144, 224) for b in (96, 176, 240)][:23]
+#: The tag colours that a tag's name is hashed to.
+PALETTE = [
+    "ff0009", "ff7700", "fff700", "09ff00", "00ff77", "00fff7", "0089ff", "0009ff", "7700ff", "f700ff", "ff0089", "ff7378",
+    "ffb573", "fffb73", "beff73", "78ff73", "73ffb5", "73fffb", "73beff", "7378ff", "b573ff", "fb73ff", "ff73be",
+]
 
 
 def tag_selection(document_tag: DataFrame, ids: DataFrame, tag_id: int) -> DataFrame:
@@ -96,7 +99,7 @@ def java_hash(name: str) -> int:
 
 
 def tag_color(name: str) -> str:
-    return PALETTE[abs(java_hash(name)) % len(PALETTE)]
+    return PALETTE[java_hash(name) % len(PALETTE)]
 
 
 def next_numbers(new: DataFrame, existing: DataFrame, document_set_id: int, order: list[Column]) -> DataFrame:
@@ -106,3 +109,27 @@ def next_numbers(new: DataFrame, existing: DataFrame, document_set_id: int, orde
     top = existing.filter(F.col("document_set_id") == document_set_id).agg(F.max("id")).first()[0]
     top = (document_set_id << 32) - 1 if top is None else top
     return positioned(new, order, "__n").withColumn("id", F.lit(top + 1) + F.col("__n")).drop("__n")
+
+
+def put_state(state: DataFrame, key: str, value: str) -> DataFrame:
+    """A store's key-value state after one write."""
+    return state.filter(F.col("key") != key).unionByName(state.sparkSession.createDataFrame([(key, value)], "key string, value string"))
+
+
+def get_state(state: DataFrame, key: str, default: str = "{}") -> str:
+    row = state.filter(F.col("key") == key).first()
+    return default if row is None else row.value
+
+
+def upsert_objects(store_object: DataFrame, new: DataFrame, store_id: int) -> DataFrame:
+    """A store's objects replaced or added by id; another store's objects can't be changed."""
+    mine = new.withColumn("store_id", F.lit(store_id).cast(store_object.schema["store_id"].dataType))
+    foreign = store_object.filter(F.col("store_id") != store_id).select("id")
+    valid = mine.join(foreign, "id", "left_anti").dropDuplicates(["id"])
+    return store_object.join(valid.select("id"), "id", "left_anti").unionByName(valid, allowMissingColumns=True)
+
+
+def delete_objects(store_object: DataFrame, links: DataFrame, ids: list[int], store_id: int) -> tuple[DataFrame, DataFrame]:
+    """Objects of a store deleted with their links."""
+    gone = store_object.filter((F.col("store_id") == store_id) & F.col("id").isin(ids)).select("id")
+    return store_object.join(gone, "id", "left_anti"), links.join(gone.withColumnRenamed("id", "store_object_id"), "store_object_id", "left_anti")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions.text import analyze, query_terms, terms
-from lodestack.operators.highlight import highlights, snippet_html, snippets
+from lodestack.operators.highlight import highlight_json, highlights, snippet_html, snippets, utf8_spans
 from lodestack.operators.index import build_postings, replace_documents, without_documents
 from lodestack.plans.ast import And, Everything, Field, Fuzzy, Not, Or, Phrase, Prefix, Proximity, Regex
 from lodestack.plans.compile import IndexSearch, regex_rules, scan_column
@@ -165,6 +165,7 @@ def test_highlights():
     assert cut(highlights(text, parse("fox*"), utf16=False)) == ["fox", "fox", "foxes"]
     assert highlights(text, parse("quick"))[0] == (3, 8)
     assert highlights(text, parse("not quick and title:fox")) == []
+    assert highlight_json(text, parse("brown")) == "[[25,30]]" and utf8_spans(text, [(2, 7)]) == [(5, 10)]
 
 
 def test_snippets():

@@ -125,6 +125,16 @@ def test_changes(spark, corpus):
     assert [r.file_id for r in mutate.unshared_files(shared, 1).collect()] == [2]
 
 
+def test_store_state_and_objects(spark):
+    state = mutate.put_state(mutate.put_state(spark.createDataFrame([], "key string, value string"), "a", "1"), "a", "2")
+    assert mutate.get_state(state, "a") == "2" and mutate.get_state(state, "b") == "{}" and state.count() == 1
+    objects = spark.createDataFrame([(1, 1, "x"), (2, 2, "y")], "id long, store_id long, json string")
+    new = mutate.upsert_objects(objects, spark.createDataFrame([(1, "new"), (2, "theirs"), (3, "z")], "id long, json string"), 1)
+    assert sorted(map(tuple, new.select("id", "store_id", "json").collect())) == [(1, 1, "new"), (2, 2, "y"), (3, 1, "z")]
+    left, links = mutate.delete_objects(new, spark.createDataFrame([(9, 1), (9, 2)], "document_id long, store_object_id long"), [1, 2], 1)
+    assert sorted(r.id for r in left.collect()) == [2, 3] and [r.store_object_id for r in links.collect()] == [2]
+
+
 def test_text_and_metadata(spark):
     row = spark.createDataFrame([("a\r\nb\rc\x85d\x00e\tf\u0378g", '{"s": "x", "n": 1.5, "o": {"k": [1]}, "z": null}')], "t string, m string")
     r = row.select(textify(F.col("t")).alias("t"), clean_metadata(F.col("m"), ["s", "n", "o", "z", "q"]).alias("c"), metadata_value(F.col("m"), "n").alias("n"), sorting.scalar_metadata(F.col("m"), "o").alias("o")).first()
@@ -279,6 +289,8 @@ def test_similar_pairs_and_components(spark):
     assert comps == {i: i % 3 for i in range(len(x))}
     chain = spark.createDataFrame([(i + 1, i) for i in range(40)], "a long, b long")
     assert {r.component for r in components.connected_components(spark.range(42), chain).collect()} == {0, 41}
+    tree = {(r.document_id, r.level): r.component for r in cluster.threshold_tree(v, spark.range(len(x) + 1), (0.8, 0.1)).collect()}
+    assert tree[len(x), 0] == 0 and (len(x), 1) not in tree and {tree[i, 1] for i in range(len(x))} == {0, 1, 2}
     assert (cluster.components_in_memory(x, 0.5) == np.arange(len(x)) % 3).all()
 
 
@@ -291,7 +303,7 @@ def test_clustering(spark):
     assert len(found) == len(x)
     assert cluster.distortions(v, cluster.k_means(v, 3)).filter("distortion < 0").count() == 0
     docs = spark.range(len(x) + 1)
-    for kind in ("components", "k_means"):
+    for kind in ("components", "k_means", "hybrid"):
         node, bridge = cluster.document_tree(v, docs, kind)
         nodes = {r.id: r for r in node.collect()}
         of = {}
