@@ -17,6 +17,7 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SLICE_BYTES = 1 << 20
+ROWS_AT_ONCE = 512
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -57,16 +58,15 @@ def text_slices(texts: pa.Array, most_bytes: int = SLICE_BYTES) -> Iterator[tupl
     """(first row, end row, UTF-8 bytes, offsets) for runs of rows of at most ``most_bytes``, or one longer row; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.fill_null("").cast(pa.large_string())
-    if not len(texts):
-        return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    low = 0
-    while low < len(texts):
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most_bytes, "right")) - 1)
-        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-        low = high
+    for begin in range(0, len(texts), ROWS_AT_ONCE):  # so that only a part of a batch is copied at a time
+        part = texts.slice(begin, ROWS_AT_ONCE).fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+        low = 0
+        while low < len(part):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most_bytes, "right")) - 1)
+            yield begin + low, begin + high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+            low = high
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -301,28 +301,29 @@ class Model:
 
 
 #: Distinct chunks remembered; beyond that the memory starts anew.
-KEEP_CHUNKS = 400_000
+KEEP_CHUNKS = 150_000
 SLICE = 64
 
 
 def encode_batches(path: str, digest: bool):
-    """mapInPandas function over (doc_id, text): ids as array<int>, or digests of ids and of the decoded text."""
+    """mapInArrow function over (doc_id, text): ids as array<int>, or digests of ids and of the decoded text."""
     from hashlib import sha256
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.load(path)
         for batch in batches:
             for low in range(0, len(batch), SLICE):
-                part = batch.iloc[low : low + SLICE]
-                found = model.encode(part.text.tolist())
-                rows = {"doc_id": part.doc_id, "n_pieces": [len(x) for x in found]}
+                part = batch.slice(low, SLICE)
+                found = model.encode(part.column(1).to_pylist())
+                rows = {"doc_id": part.column(0), "n_pieces": pa.array([len(x) for x in found], pa.int64())}
                 if digest:
-                    rows["n_byte_pieces"] = [int(model.is_byte[x].sum()) for x in found]
-                    rows["ids_sha256"] = [sha256(x.astype("<i4").tobytes()).hexdigest() for x in found]
-                    rows["decoded_sha256"] = [sha256(model.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in found]
+                    rows["n_byte_pieces"] = pa.array([int(model.is_byte[x].sum()) for x in found], pa.int64())
+                    rows["ids_sha256"] = pa.array([sha256(x.astype("<i4").tobytes()).hexdigest() for x in found], pa.string())
+                    rows["decoded_sha256"] = pa.array([sha256(model.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in found], pa.string())
                 else:
-                    rows["ids"] = found
-                yield pd.DataFrame(rows)
+                    bounds = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                    rows["ids"] = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
+                yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
 
     return run
 
@@ -336,4 +337,4 @@ def encode(docs, path: str, id_col: str = "doc_id", text_col: str = "text", dige
     from pyspark.sql import functions as F
 
     fields = "doc_id long, n_pieces long, " + ("n_byte_pieces long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(encode_batches(path, digest), fields)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode_batches(path, digest), fields)
