@@ -23,9 +23,9 @@ SIZES = (3, 4, 5)
 BUCKETS, DIMENSIONS = 1 << 16, 4
 #: The classifier is fitted on at most so many labelled texts of each class, those of least hashed id.
 SAMPLE_PER_CLASS = 2048
-EPOCHS, BATCH, RATE, DECAY = 24, 64, 0.02, 1e-5
+EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.005, 5e-4
 THRESHOLD = 0.3
-SLICE_BYTES = 1 << 18
+SLICE_BYTES, ROWS_AT_ONCE = 1 << 18, 512
 EDGE = 1
 
 
@@ -153,15 +153,17 @@ def _score(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = model.value
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            low = 0
-            while low < len(texts):
-                high, size = low, 0
-                while high < len(texts) and (high == low or size + len(texts[high]) <= SLICE_BYTES):
-                    size += len(texts[high])
-                    high += 1
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(classifier.scores(texts[low:high]))], ["doc_id", "score"])
-                low = high
+            for begin in range(0, len(batch), ROWS_AT_ONCE):
+                part = batch.slice(begin, ROWS_AT_ONCE)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                low = 0
+                while low < len(texts):
+                    high, size = low, 0
+                    while high < len(texts) and (high == low or size + len(texts[high]) <= SLICE_BYTES):
+                        size += len(texts[high])
+                        high += 1
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(low, high - low), pa.array(classifier.scores(texts[low:high]))], ["doc_id", "score"])
+                    low = high
 
     return run
 
