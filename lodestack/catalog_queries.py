@@ -7,6 +7,7 @@ event types, linked to documents by user id.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from . import plugins
 from .functions import ids as id_functions
 from .functions.text import clean_metadata, term_rows, terms, textify, weighted_terms
 from .operators import cluster, components, facets, highlight, lookups, mutate, selection, vectors
-from .operators.index import build_postings, dictionary
+from .operators.index import build_postings, dictionary, save_postings
 from .plans.parser import parse
 from .sinks import export
 from .sources import cloud, csv_documents, files
@@ -67,9 +68,23 @@ def object_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("store_object_id"))
 
 
+#: Folders of the term indexes written by this process, by application and table folder.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term index of the documents: written once a session, sorted by field and term, and then read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{components.checkpoint_folder(spark)}/lodestack-core/index-{uuid.uuid4().hex}"
+        save_postings(build_postings(documents(spark, sf_dir), ["lang", "source"], "simple", offsets=False), path)
+        _INDEXES[key] = path
+    return spark.read.schema("id long, field string, term string, pos int, begin int, end int, document_set_id long").parquet(_INDEXES[key])
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> selection.Corpus:
     docs = documents(spark, sf_dir)
-    return selection.Corpus(docs, build_postings(docs, ["lang", "source"], "simple", offsets=False), document_tag(spark, sf_dir), node_document(spark, sf_dir), object_link(spark, sf_dir), ("lang", "source"), "simple")
+    return selection.Corpus(docs, index(spark, sf_dir), document_tag(spark, sf_dir), node_document(spark, sf_dir), object_link(spark, sf_dir), ("lang", "source"), "simple")
 
 
 def searched(spark: SparkSession, sf_dir: str, **request) -> DataFrame:
