@@ -104,16 +104,16 @@ def _sets(k: int):
 
 
 def _may_link(percent: int):
-    """Within (a part of) a bucket: which member may link to which other component, by signature and set size."""
+    """Within a part of a bucket: which asking member may link to which other component, by signature and set size."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates(["id", "side"])
-        a, b = group[group.side != 1], group[group.side != 0]  # 2: the part meets itself
+        a, b = group[group.asked], group[~group.asked]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "comp": []}, dtype="int64")
         n, m = a.n.to_numpy()[:, None], b.n.to_numpy()[None, :]
         near = a.comp.to_numpy()[:, None] != b.comp.to_numpy()[None, :]
         near &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        if group.p.iat[0] == group.q.iat[0]:
-            near = np.triu(near)  # the part meets itself: each pair once
+        near &= b.main.to_numpy()[None, :] | (a.id.to_numpy()[:, None] < b.id.to_numpy()[None, :])  # two that both ask meet once
         if not near.any():
             return pd.DataFrame({"u": [], "comp": []}, dtype="int64")
         table = lambda column, kind: np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
@@ -221,28 +221,32 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     first = components(links)
 
     labelled = members.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = labelled.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("many")).filter("low <> high")
-    open_ = open_.select("bucket", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts"))
+    per_comp = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("many"))
+    open_ = per_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max_by("comp", F.struct("many", -F.col("comp"))).alias("main_comp"), F.max("many").alias("main_many")).filter("comps > 1")
+    parts = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_ = written(open_.select("bucket", "main_comp", parts(F.col("all")).alias("parts"), parts(F.col("all") - F.col("main_many")).alias("ask_parts")), "open")
     sizes = first.groupBy("comp").agg(F.count("*").alias("members"))
+    part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     rest = (
         labelled.join(open_, "bucket")
         .join(sizes, "comp", "left")
         .join(sets.select("id", "short", "bands"), "id")
-        .select("bucket", "id", "n", "comp", F.coalesce("members", F.lit(1)).alias("members"), "short", "bands", "parts", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+        .select("bucket", "id", "n", "comp", F.coalesce("members", F.lit(1)).alias("members"), "short", "bands", "parts", "ask_parts", (F.col("comp") == F.col("main_comp")).alias("main"))
     )
-    # every part of a bucket meets itself and each later part
-    met = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("bucket", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.expr("case when part = other then 2 when part < other then 0 else 1 end").alias("side"), "id", "n", "comp", "members", "short", "bands")
+    # members outside a bucket's main component ask; every member is asked once, in its part, by each block of askers
+    columns = ["bucket", "id", "n", "comp", "members", "short", "bands", "main", "p", "q", "asked"]
+    asking = rest.filter("not main").withColumn("q", part(F.col("ask_parts"))).withColumn("p", spread("parts")).withColumn("asked", F.lit(True))
+    replying = rest.withColumn("p", part(F.col("parts"))).withColumn("q", spread("ask_parts")).withColumn("asked", F.lit(False))
+    met = asking.select(*columns).union(replying.select(*columns))
     maybe = written(met.groupBy("bucket", "p", "q").applyInPandas(_may_link(percent), "u long, comp long").distinct(), "maybe")
 
     queries = maybe.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_parts"))
     targets = queries.join(sizes, "comp", "left").select("comp", "query_parts", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    part = lambda parts: F.pmod(F.xxhash64("id"), parts).cast("int")
-    spread = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    asked = maybe.withColumnRenamed("u", "id").join(targets, "comp").select("comp", "id", part("query_parts").alias("q"), spread("blocks").alias("b"), F.lit(0).alias("role"))
+    asked = maybe.withColumnRenamed("u", "id").join(targets, "comp").select("comp", "id", part(F.col("query_parts")).alias("q"), spread("blocks").alias("b"), F.lit(0).alias("role"))
     single = targets.select("comp", F.col("comp").alias("id"))  # a component's least member; the only one of those without links
     member = single.union(first.select("comp", "id").join(targets.select("comp"), "comp", "left_semi").select("comp", "id")).distinct()
-    member = member.join(targets, "comp").select("comp", "id", spread("query_parts").alias("q"), part("blocks").alias("b"), F.lit(1).alias("role"))
+    member = member.join(targets, "comp").select("comp", "id", spread("query_parts").alias("q"), part(F.col("blocks")).alias("b"), F.lit(1).alias("role"))
     more = asked.union(member).join(mine, "id").groupBy("comp", "q", "b").applyInPandas(_link_blocks(percent), "a long, b long")
     more = written(more, "more-links")
     if more.limit(1).count():
