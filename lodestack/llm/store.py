@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -12,11 +13,12 @@ from pyspark.sql import functions as F
 
 #: Id tables of at most this many rows (16 MB of longs) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+_OWN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(shared_folder, "own", None)
         if base is None:
@@ -26,7 +28,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lodestack/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's part of the shared folder, which goes when the driver ends."""
+    own = f"{shared_folder(spark)}/lodestack/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_removed, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
