@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
 Between stages the rows are written as Parquet and read again, so a stage's work isn't repeated and survives lost
 executors.
+
+Awkward rows have the operators' results: a null or empty text fails the quality rules; a row without a doc_id is nobody's
+copy and is kept by near_dedup_stage; rows that share a doc_id, or have none, share the copies of the mix evenly; repeated
+rows are copies of each other.  Empty tables give empty tables.  Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -37,7 +41,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents are dropped or repeated so that the sources' words come near their targets."""
     copies = written(mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")), "copies")
     key = copies.withColumnRenamed("doc_id", "__id")
-    rows = docs.join(key.filter("__n = 1"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    single = key.filter("__n = 1")
+    single = F.broadcast(single) if single.count() <= BROADCAST_IDS else single
+    rows = docs.join(single, F.col("doc_id").eqNullSafe(F.col("__id")))
     shared = key.filter("__n > 1")
     n_shared = shared.count()
     if n_shared:  # rows of one doc_id, or of none, share its copies evenly
