@@ -76,7 +76,7 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The term index of the documents: written once a session, sorted by field and term, and then read by every search."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        path = f"{components.checkpoint_folder(spark)}/lodestack-core/index-{uuid.uuid4().hex}"
+        path = f"{components.checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
         save_postings(build_postings(documents(spark, sf_dir), ["lang", "source"], "simple", offsets=False), path)
         _INDEXES[key] = path
     return spark.read.schema("id long, field string, term string, pos int, begin int, end int, document_set_id long").parquet(_INDEXES[key])

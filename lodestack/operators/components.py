@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -11,19 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_OWN: set[str] = set()
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The application's part of the shared folder (``spark.checkpoint.dir``; a temporary one where that is unset); it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(checkpoint_folder, "own", None)
         if base is None:
             base = checkpoint_folder.own = tempfile.mkdtemp(prefix="lodestack-core-")
             atexit.register(shutil.rmtree, base, ignore_errors=True)
-    return base.rstrip("/")
+    own = f"{base.rstrip('/')}/lodestack-core/{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_removed, spark, own)
+    return own
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` as a written table: lineage ends here, and lost executors don't matter."""
-    path = f"{checkpoint_folder(df.sparkSession)}/lodestack-core/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
