@@ -33,7 +33,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and disclosing terms in texts are replaced; n_chars follows."""
-    found = pii.find_personal_data(docs, pii.disclosing_terms(docs)).withColumn("text", F.when(F.col("text").isNotNull(), F.col("__pii.clean")))
+    found = pii.find_personal_data(docs, pii.term_table(docs)).withColumn("text", F.when(F.col("text").isNotNull(), F.col("__pii.clean")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -8,8 +8,9 @@ Protected entities are the kinds of personal data.  For a term t within CONTEXT_
 pointwise mutual information over corpus counts, PMI(t; e) = log2(n(t,e) N / (n(t) n(e))), is at most the entity's
 information content IC(e) = log2(N / n(e)); their quotient is the share of the entity that the term discloses.  Terms
 above REMOVE_AT are removed, terms above GENERALISE_AT replaced by a general word.  A term needs LEAST_SUPPORT
-occurrences near the kind and 1/SUPPORT_SHARE of all its context words, so at most SUPPORT_SHARE terms a kind qualify:
-the term list has a fixed bound, whatever the corpus.
+occurrences near the kind, at every size of the corpus.  So the terms are a table that grows with the corpus: up to
+LISTED_TERMS of them are written into the expressions, more are joined with the words of the texts, by a broadcast up to
+BROADCAST_BYTES and by a shuffle beyond, with the same result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import let
+from .store import let, written
 
 #: The pattern of each kind, in the order in which spans of one start are listed.
 KINDS = {
@@ -32,7 +33,8 @@ ORDER = [*KINDS, "general", "removed"]
 HOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "removed": ""}
 CONTEXT_WORDS, CONTEXT_CHARS = 5, 128
 GENERALISE_AT, REMOVE_AT = 0.8, 0.9
-LEAST_SUPPORT, SUPPORT_SHARE = 5, 1000
+LEAST_SUPPORT = 5
+LISTED_TERMS, BROADCAST_BYTES = 1000, 16_000_000
 BLOCK = 256
 NOT_LETTERS, LETTERS = r"[^\p{L}]+", r"[\p{L}]+"
 
@@ -69,20 +71,23 @@ SPAN = "array<struct<start:int,kind:int,stop:int,byte_start:int,byte_stop:int>>"
 
 
 def _placed(cut: Column, wanted, kind_of) -> Column:
-    """Spans of the wanted matches: code-point and byte offsets.  Found ones are gathered in blocks, so that the work stays near linear."""
+    """Spans of the wanted matches: code-point and byte offsets.  Found ones are gathered in blocks, so that the work stays near linear.
+
+    ``wanted`` and ``kind_of`` get a match, its index and the number of spans found before it.
+    """
     none = F.array().cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), none.alias("block"), F.array().cast(f"array<{SPAN}>").alias("full"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"), F.lit(0).alias("found"), none.alias("block"), F.array().cast(f"array<{SPAN}>").alias("full"))
 
     def step(acc: Column, i: Column) -> Column:
         piece, match = F.get(cut["pieces"], i), F.get(cut["matches"], i)
 
         def put(x: Column) -> Column:
-            span = F.array(F.struct(x["at"].alias("start"), kind_of(match).alias("kind"), x["stop"].alias("stop"), x["byte"].alias("byte_start"), x["byte_stop"].alias("byte_stop"))).cast(SPAN)
+            span = F.array(F.struct(x["at"].alias("start"), kind_of(match, i, acc["found"]).alias("kind"), x["stop"].alias("stop"), x["byte"].alias("byte_start"), x["byte_stop"].alias("byte_stop"))).cast(SPAN)
             whole = F.size(acc["block"]) >= BLOCK
-            hit = wanted(match)
+            hit = wanted(match, i, acc["found"])
             block = F.when(~hit, acc["block"]).when(whole, span).otherwise(F.concat(acc["block"], span))
             full = F.when(hit & whole, F.concat(acc["full"], F.array(acc["block"]))).otherwise(acc["full"])
-            return F.struct(x["stop"].alias("at"), x["byte_stop"].alias("byte"), block.alias("block"), full.alias("full"))
+            return F.struct(x["stop"].alias("at"), x["byte_stop"].alias("byte"), (acc["found"] + hit.cast("int")).alias("found"), block.alias("block"), full.alias("full"))
 
         at, byte = acc["at"] + F.length(piece), acc["byte"] + F.octet_length(piece)
         return let(F.struct(at.alias("at"), (at + F.length(match)).alias("stop"), byte.alias("byte"), (byte + F.octet_length(match)).alias("byte_stop")), put)
@@ -94,7 +99,7 @@ def _placed(cut: Column, wanted, kind_of) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All valid pattern spans, by start and then kind."""
-    of = lambda kind, n: F.when(_may_have(kind, text), let(_cut(text, KINDS[kind]), lambda c: _placed(c, lambda m: _valid(kind, m), lambda m: F.lit(n)))).otherwise(F.array().cast(SPAN))
+    of = lambda kind, n: F.when(_may_have(kind, text), let(_cut(text, KINDS[kind]), lambda c: _placed(c, lambda m, *_: _valid(kind, m), lambda *_: F.lit(n)))).otherwise(F.array().cast(SPAN))
     return F.sort_array(F.concat(*[of(kind, n) for n, kind in enumerate(KINDS)]))
 
 
@@ -111,33 +116,47 @@ def _contexts(text: Column, kind: str) -> Column:
     return F.when(_may_have(kind, text), let(_cut(text, KINDS[kind]), near)).otherwise(F.array().cast("array<string>"))
 
 
-def disclosing_terms(docs: DataFrame, text_col: str = "text") -> dict[str, str]:
-    """Term to "general" or "removed", from co-occurrence counts over all documents."""
+def _broadcast(rows: DataFrame, n_bytes: Column) -> DataFrame:
+    """``rows``, marked for a broadcast if they are of at most BROADCAST_BYTES."""
+    return F.broadcast(rows) if (rows.agg(F.sum(n_bytes)).first()[0] or 0) <= BROADCAST_BYTES else rows
+
+
+def _term_bytes() -> Column:
+    return F.octet_length("term") + 32
+
+
+def term_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, what): "general" or "removed", from co-occurrence counts over all documents; of as many terms as qualify."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     of = lambda kind: F.transform(_contexts(text, kind), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("term")))
     near = docs.select(F.explode(F.concat(*map(of, KINDS))).alias("x")).select("x.*")
-    counts = near.groupBy("kind", "term").agg(F.count("*").alias("n"))
-    slots = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    least = {kind: max(LEAST_SUPPORT, -(-n // SUPPORT_SHARE)) for kind, n in slots.items()}
-    if not least:
-        return {}
-    enough = F.coalesce(*[F.when(F.col("kind") == kind, F.col("n") >= n) for kind, n in least.items()])
-    support = counts.filter(enough).collect()  # at most SUPPORT_SHARE rows a kind
-    terms = sorted({r.term for r in support})
-    if not terms:
-        return {}
+    counts = written(near.groupBy("kind", "term").agg(F.count("*").alias("n")), "contexts")
+    slots = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a kind
+    support = counts.filter(F.col("n") >= LEAST_SUPPORT)
+    wanted = written(support.select("term").distinct(), "support")
     words = F.filter(F.split(F.lower(text), NOT_LETTERS, -1), lambda w: w != "")
-    both = let(words, lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(terms)).alias("found")))
-    counted = docs.select(both.alias("b")).select(F.explode(F.concat(F.transform(F.col("b.found"), lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("n"))), F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("b.n").cast("long").alias("n"))))).alias("x"))
-    totals = {r.term: r.n for r in counted.groupBy("x.term").agg(F.sum("x.n").alias("n")).collect()}  # one row a term
-    everything, out = totals.pop(None), {}
-    for r in support:
-        content = math.log2(everything / slots[r.kind]) if slots[r.kind] < everything else 0.0
-        if content > 0:
-            disclosed = math.log2(r.n * everything / (totals[r.term] * slots[r.kind])) / content
-            if disclosed >= GENERALISE_AT and out.get(r.term) != "removed":
-                out[r.term] = "removed" if disclosed >= REMOVE_AT else "general"
-    return out
+    held = _broadcast(wanted, _term_bytes())
+    counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
+    if held is not wanted:  # words that aren't asked for meet in the row of null before the shuffle
+        counted = docs.select(F.explode(words).alias("word")).join(held, F.col("word") == F.col("term"), "left").groupBy(F.col("term").alias("word")).agg(F.count("*").alias("uses"))
+    counted = written(counted, "uses")
+    everything = counted.agg(F.sum("uses")).first()[0] or 0
+    content = {kind: math.log2(everything / n) for kind, n in slots.items() if n < everything}
+    if not content:
+        return docs.sparkSession.createDataFrame([], "term string, what string")
+    by_kind = lambda values: F.coalesce(*[F.when(F.col("kind") == kind, F.lit(float(values[kind]))) for kind in content])
+    disclosed = F.log2(F.col("n") * F.lit(float(everything)) / (F.col("uses") * by_kind(slots))) / by_kind(content)
+    shares = support.join(counted, F.col("term") == F.col("word")).groupBy("term").agg(F.max(disclosed).alias("share"))
+    return written(shares.filter(F.col("share") >= GENERALISE_AT).select("term", F.when(F.col("share") >= REMOVE_AT, "removed").otherwise("general").alias("what")), "terms")
+
+
+def disclosing_terms(docs: DataFrame, text_col: str = "text") -> dict[str, str]:
+    """The rows of term_table on the driver, for small corpora."""
+    return {r.term: r.what for r in term_table(docs, text_col).collect()}
+
+
+def _free(spans: Column, base: Column) -> Column:
+    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
 
 
 def term_spans(text: Column, base: Column, terms: dict[str, str]) -> Column:
@@ -146,11 +165,33 @@ def term_spans(text: Column, base: Column, terms: dict[str, str]) -> Column:
     if not terms:
         return none
     removed = [t for t, what in terms.items() if what == "removed"]
-    known = lambda m: F.lower(m).isin(list(terms))
-    kind = lambda m: F.when(F.lower(m).isin(removed), F.lit(ORDER.index("removed"))).otherwise(F.lit(ORDER.index("general"))) if removed else F.lit(ORDER.index("general"))
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    found = let(_cut(text, LETTERS), lambda c: F.when(F.exists(c["matches"], known), _placed(c, known, kind)).otherwise(none))
-    return F.filter(found, free)
+    known = lambda m, *_: F.lower(m).isin(list(terms))
+    kind = lambda m, *_: F.when(F.lower(m).isin(removed), F.lit(ORDER.index("removed"))).otherwise(F.lit(ORDER.index("general"))) if removed else F.lit(ORDER.index("general"))
+    found = let(_cut(text, LETTERS), lambda c: F.when(F.exists(c["matches"], lambda m: known(m)), _placed(c, known, kind)).otherwise(none))
+    return _free(found, base)
+
+
+def _hit_spans(text: Column, base: Column, hits: Column) -> Column:
+    """As term_spans, from the places of the terms among the text's words: (pos, kind) in order, walked along with the words."""
+    none = F.array().cast(SPAN)
+    at = lambda i, found: F.coalesce(F.get(hits, found)["pos"] == i, F.lit(False))
+    found = F.when(F.size(hits) > 0, let(_cut(text, LETTERS), lambda c: _placed(c, lambda m, i, found: at(i, found), lambda m, i, found: F.get(hits, found)["kind"]))).otherwise(none)
+    return _free(found, base)
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _with_hits(docs: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
+    """``docs`` with ``__hits``, the places of terms among the words of the text.  Equal texts share them, so rows need no key of their own."""
+    words = docs.select(_digest(text).alias("digest"), F.posexplode(F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower)).alias("pos", "word"))
+    kind = F.when(F.col("what") == "removed", ORDER.index("removed")).otherwise(ORDER.index("general"))
+    found = words.join(_broadcast(terms, _term_bytes()), F.col("word") == F.col("term")).select("digest", "pos", kind.alias("kind")).distinct()
+    hits = written(found.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "kind"))).alias("__hits")), "hits")
+    hits = _broadcast(hits, F.size("__hits") * 24 + 96).withColumnRenamed("digest", "__of")
+    none = F.array().cast("array<struct<pos:int,kind:int>>")
+    return docs.join(hits, _digest(text) == F.col("__of"), "left").drop("__of").withColumn("__hits", F.coalesce("__hits", none))
 
 
 def _listed(spans: Column) -> Column:
@@ -187,18 +228,27 @@ def _sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(spans, clean))
 
 
-def find_personal_data(docs: DataFrame, terms: dict[str, str], text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__pii``: counts by kind, base_sha256, spans and the sanitised text.  One narrow pass, no shuffle.
+def find_personal_data(docs: DataFrame, terms: dict[str, str] | DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with a struct ``__pii``: counts by kind, base_sha256, spans and the sanitised text.
+
+    One narrow pass without a shuffle for terms in a dict, or a term_table of up to LISTED_TERMS rows; a longer table is joined.
 
     Null and empty texts have no spans; a null text stays null.  Rows are worked on one by one, repeated rows alike, and
     columns of ``docs``, whatever their names, are kept as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    if isinstance(terms, DataFrame) and terms.count() <= LISTED_TERMS:
+        terms = {r.term: r.what for r in terms.collect()}
+    joined = isinstance(terms, DataFrame)
+    if joined:
+        docs = _with_hits(docs, terms, text)
 
     def described(b: Column) -> Column:
-        every = F.sort_array(F.concat(b["base"], term_spans(b["text"], b["base"], terms)))
+        named = _hit_spans(b["text"], b["base"], b["hits"]) if joined else term_spans(b["text"], b["base"], terms)
+        every = F.sort_array(F.concat(b["base"], named))
         of = lambda n: F.size(F.filter(b["base"], lambda s: s["kind"] == n)).cast("long")
         counts = [of(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
         return let(every, lambda e: F.struct(*counts, F.sha2(_listed(b["base"]), 256).alias("base_sha256"), _listed(e).alias("spans"), _sanitised(b["text"], e).alias("clean")))
 
-    return docs.withColumn("__pii", let(text, lambda t: let(F.struct(t.alias("text"), base_spans(t).alias("base")), described)))
+    hits = [F.col("__hits").alias("hits")] if joined else []
+    return docs.withColumn("__pii", let(text, lambda t: let(F.struct(t.alias("text"), base_spans(t).alias("base"), *hits), described))).drop("__hits")

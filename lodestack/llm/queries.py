@@ -33,7 +33,7 @@ def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find_personal_data(docs, pii.disclosing_terms(docs))
+    found = pii.find_personal_data(docs, pii.term_table(docs))
     return found.select("doc_id", *[f"__pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")], F.sha2(F.coalesce("__pii.clean", F.lit("")), 256).alias("clean_sha256"))
 
 

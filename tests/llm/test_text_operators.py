@@ -192,6 +192,24 @@ def test_personal_data_awkward(spark):
     assert pii.find_personal_data(empty(spark), {}).count() == 0
 
 
+def test_terms_have_one_support_at_every_size(spark, monkeypatch):
+    """Terms of five uses, all beside an IP, go although its contexts have over 5000 words; so do more terms than are listed."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    filler = " ".join(f"filler{name(i)}" for i in range(4000))
+    texts = [f"far Secret{name(i)} 10.0.{i % 250}.1 away" for i in range(1200) for _ in range(5)] + [filler] * 40 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = pii.term_table(df)
+    terms = {r.term: r.what for r in table.collect()}
+    assert {f"secret{name(i)}" for i in range(1200)} <= set(terms) and len(terms) > pii.LISTED_TERMS
+    listed = {r.doc_id: r["__pii"] for r in pii.find_personal_data(df, terms).collect()}
+    for most in (pii.BROADCAST_BYTES, -1):  # a broadcast, a shuffle
+        monkeypatch.setattr(pii, "BROADCAST_BYTES", most)
+        assert {r.term: r.what for r in pii.term_table(df).collect()} == terms
+        joined = pii.find_personal_data(df, table)
+        assert joined.columns == ["doc_id", "text", "__pii"] and {r.doc_id: r["__pii"] for r in joined.collect()} == listed
+    assert "Secret" not in listed[0].clean and listed[len(texts) - 2].spans == ""
+
+
 # fingerprints
 
 
