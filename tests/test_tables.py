@@ -294,6 +294,26 @@ def test_similar_pairs_and_components(spark):
     assert (cluster.components_in_memory(x, 0.5) == np.arange(len(x)) % 3).all()
 
 
+def test_no_similar_pair_is_left_out(spark, monkeypatch):
+    """600 equal documents are one component; all pairs are found, also of terms dealt in blocks and at low cosines."""
+    equal = spark.range(600).select("id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("term"), F.lit(0.5**0.5).alias("weight"))
+    assert vectors.similar_pairs(equal, 0.5).count() == 600 * 599 // 2
+    assert {(r.level, r.component) for r in cluster.threshold_tree(equal, spark.range(600), (0.5,)).collect()} == {(0, 0), (1, 0)}
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 30)) * (rng.random((60, 30)) < 0.2) + 1e-3 * np.eye(60, 30)
+    x = np.vstack([x, x[:20]]) / np.linalg.norm(np.vstack([x, x[:20]]), axis=1, keepdims=True)
+    x = x[np.isfinite(x).all(axis=1)]
+    dots, v = x @ x.T, long_vectors(spark, x)
+    for least in (0.1, 0.3, 0.7):
+        want = {(i, j): dots[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if dots[i, j] >= least}
+        got = vectors.similar_pairs(v, least).collect()
+        assert len(got) == len(want) and all(want[r.a, r.b] == pytest.approx(r.cosine) for r in got)
+        ids = v.select("id").distinct()
+        links, pairs = (components.connected_components(ids, f(v, least)) for f in (vectors.similar_links, vectors.similar_pairs))
+        assert {tuple(r) for r in links.collect()} == {tuple(r) for r in pairs.collect()}
+
+
 def test_clustering(spark):
     x = grouped()
     v = long_vectors(spark, x)
