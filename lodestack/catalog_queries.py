@@ -508,10 +508,25 @@ def cosine_pairs(spark, sf_dir):
     return vectors.similar_pairs(item_vectors(spark, sf_dir), 0.1).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
+def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vectors(vectors.term_frequencies(lexed(spark, sf_dir)), table(spark, sf_dir, "documents").count())
+
+
+@query()
+def document_vectors(spark, sf_dir):
+    """As tfidf_vectors, over all documents."""
+    return all_vectors(spark, sf_dir).select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def document_cosine_pairs(spark, sf_dir):
+    """As cosine_pairs, over all documents."""
+    return vectors.similar_pairs(components.settled(all_vectors(spark, sf_dir)), 0.1).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
 @query()
 def keywords(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").count()
-    return vectors.keywords(vectors.vectors(vectors.term_frequencies(lexed(spark, sf_dir)), n)).select("id", F.array_join("keywords", ", ").alias("keywords"))
+    return vectors.keywords(all_vectors(spark, sf_dir)).select("id", F.array_join("keywords", ", ").alias("keywords"))
 
 
 @query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS component FROM documents")
@@ -525,23 +540,23 @@ def connected_components(spark, sf_dir):
 
 @query()
 def k_means_clusters(spark, sf_dir):
-    return cluster.k_means(item_vectors(spark, sf_dir), 5)
+    return cluster.k_means(components.settled(all_vectors(spark, sf_dir)), 5)
 
 
 @query()
 def cluster_tree(spark, sf_dir):
-    """The default tree over the benchmark items, with labels."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
-    vector = components.settled(item_vectors(spark, sf_dir))
-    node, bridge = cluster.document_tree(vector, items)
+    """The default tree over all documents, with labels."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    vector = components.settled(all_vectors(spark, sf_dir))
+    node, bridge = cluster.document_tree(vector, docs)
     return node.join(cluster.node_labels(bridge, vector).withColumnRenamed("node_id", "id"), "id")
 
 
 @query()
 def threshold_components(spark, sf_dir):
-    """Nested components of the benchmark items."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"))
-    return cluster.threshold_tree(item_vectors(spark, sf_dir), items)
+    """Nested components of all documents."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return cluster.threshold_tree(all_vectors(spark, sf_dir), docs)
 
 
 @query(r"SELECT doc_id AS id, unnest(range(0, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))) AS pos FROM documents")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack import plugins
+from lodestack import catalog_queries, plugins
 from lodestack.functions import ids
 from lodestack.functions.text import clean_metadata, metadata_value, parse_schema, textify, weighted_terms
 from lodestack.operators import cluster, components, facets, lookups, mutate, selection, sorting, vectors
@@ -314,6 +314,25 @@ def test_no_similar_pair_is_left_out(spark, monkeypatch):
         assert {tuple(r) for r in links.collect()} == {tuple(r) for r in pairs.collect()}
 
 
+def test_vector_queries_cover_the_documents(spark, tmp_path):
+    """Each query over documents, against brute force; there is no other table in the folder."""
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    texts = [" ".join(words[(i * k + k) % 12] for k in range(1, 6)) for i in range(24)] + [""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog_queries.Q[name](spark, str(tmp_path)).collect()
+    x = {}
+    for r in run("document_vectors"):
+        x.setdefault(r.id, {})[r.term] = r.weight
+    dot = lambda a, b: sum(w * x[b].get(t, 0) for t, w in x[a].items())
+    want = {(a, b): dot(a, b) for a in x for b in x if a < b and dot(a, b) >= 0.1}
+    got = {(r.a, r.b): r.cosine for r in run("document_cosine_pairs")}
+    assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-4 for p in want) and set(x) <= set(range(24))
+    assert {r.id for r in run("k_means_clusters")} == set(x)
+    found = run("threshold_components")
+    assert {r.document_id for r in found if r.level == 0} == set(range(25)) and {r.document_id for r in found if r.level == 1} == set(x)
+    assert {r["size"] for r in run("cluster_tree") if r.level == 0} == {25}
+
+
 def test_clustering(spark):
     x = grouped()
     v = long_vectors(spark, x)
