@@ -31,7 +31,7 @@ KINDS = {
 }
 ORDER = [*KINDS, "general", "removed"]
 HOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "removed": ""}
-CONTEXT_WORDS, CONTEXT_CHARS = 5, 128
+CONTEXT_WORDS = 5
 GENERALISE_AT, REMOVE_AT = 0.8, 0.9
 LEAST_SUPPORT = 5
 LISTED_TERMS, BROADCAST_BYTES = 1000, 16_000_000
@@ -104,16 +104,22 @@ def base_spans(text: Column) -> Column:
 
 
 def _contexts(text: Column, kind: str) -> Column:
-    """Lower-cased words of letters near each valid match."""
+    """Lower-cased words of letters near each valid match: CONTEXT_WORDS on each side, of the text around the valid matches."""
+    none, mark = F.array().cast("array<string>"), "0"  # no word of letters
     words = lambda x: F.filter(F.split(F.lower(x), NOT_LETTERS, -1), lambda w: w != "")
-    tail = lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS))
 
-    def near(c: Column) -> Column:
-        left = lambda i: let(words(F.right(F.get(c["pieces"], i), F.lit(CONTEXT_CHARS))), tail)
-        right = lambda i: F.slice(words(F.left(F.get(c["pieces"], i + 1), F.lit(CONTEXT_CHARS))), F.lit(1), F.lit(CONTEXT_WORDS))
-        return F.flatten(F.transform(c["matches"], lambda m, i: F.when(_valid(kind, m), F.concat(left(i), right(i))).otherwise(F.array().cast("array<string>"))))
+    def marked(c: Column) -> Column:
+        is_entity = lambda i: F.coalesce(_valid(kind, F.get(c["matches"], i)), F.lit(False))
+        return F.flatten(F.transform(c["pieces"], lambda x, i: F.concat(words(x), F.when(is_entity(i), F.array(F.lit(mark))).otherwise(none))))
 
-    return F.when(_may_have(kind, text), let(_cut(text, KINDS[kind]), near)).otherwise(F.array().cast("array<string>"))
+    def near(w: Column) -> Column:
+        places = F.filter(F.transform(w, lambda x, i: F.when(x == mark, i)), lambda i: i.isNotNull())
+        before = F.transform(places, lambda i, n: i - n)  # words before each match
+        plain = F.filter(w, lambda x: x != mark)
+        around = lambda p, n: F.slice(p, F.greatest(n - CONTEXT_WORDS + 1, F.lit(1)), F.least(n, F.lit(CONTEXT_WORDS)) + CONTEXT_WORDS)
+        return let(plain, lambda p: F.flatten(F.transform(before, lambda n: around(p, n))))
+
+    return F.when(_may_have(kind, text), let(let(_cut(text, KINDS[kind]), marked), near)).otherwise(none)
 
 
 def _broadcast(rows: DataFrame, n_bytes: Column) -> DataFrame:

@@ -210,6 +210,19 @@ def test_terms_have_one_support_at_every_size(spark, monkeypatch):
     assert "Secret" not in listed[0].clean and listed[len(texts) - 2].spans == ""
 
 
+def test_contexts_are_five_whole_words_around_valid_spans(spark):
+    long = "".join("ab"[i % 2] for i in range(90))
+    texts = {
+        "a b zorblatt since 2019 card 4111 1111 1111 1111 in 12 of 34 c d e f": ["a", "b", "zorblatt", "since", "card", "in", "of", "c", "d", "e"],
+        f"a b {long} {long}x c 4111 1111 1111 1111": ["a", "b", long, f"{long}x", "c"],
+        "one 4111 1111 1111 1111 two 4111-1111-1111-1111": ["one", "two", "one", "two"],
+        "4111111111111111": [],
+        "no card 12 34": [],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r.text: r.w for r in df.select("text", pii._contexts(F.col("text"), "card").alias("w")).collect()} == texts
+
+
 # fingerprints
 
 
