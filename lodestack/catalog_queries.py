@@ -7,7 +7,6 @@ event types, linked to documents by user id.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +18,7 @@ from .functions.text import clean_metadata, term_rows, terms, textify, weighted_
 from .operators import cluster, components, facets, highlight, lookups, mutate, selection, vectors
 from .operators.index import build_postings, dictionary, save_postings
 from .plans.parser import parse
+from .shared import new_path, settled, table_state
 from .sinks import export
 from .sources import cloud, csv_documents, files
 
@@ -68,15 +68,15 @@ def object_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("store_object_id"))
 
 
-#: Folders of the term indexes written by this process, by application and table folder.
-_INDEXES: dict[tuple[str, str], str] = {}
+#: Folders of the term indexes written by this process, by application, table folder and state of the documents.
+_INDEXES: dict[tuple, str] = {}
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The term index of the documents: written once a session, sorted by field and term, and then read by every search."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The term index of the documents: written once a session and state of the table, sorted by field and term, and then read by every search."""
+    key = (spark.sparkContext.applicationId, sf_dir, table_state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _INDEXES:
-        path = f"{components.checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
+        path = new_path(spark, "index")
         save_postings(build_postings(documents(spark, sf_dir), ["lang", "source"], "simple", offsets=False), path)
         _INDEXES[key] = path
     return spark.read.schema("id long, field string, term string, pos int, begin int, end int, document_set_id long").parquet(_INDEXES[key])
@@ -521,7 +521,7 @@ def document_vectors(spark, sf_dir):
 @query()
 def document_cosine_pairs(spark, sf_dir):
     """As cosine_pairs, over all documents."""
-    return vectors.similar_pairs(components.settled(all_vectors(spark, sf_dir)), 0.1).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return vectors.similar_pairs(settled(all_vectors(spark, sf_dir)), 0.1).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 @query()
@@ -540,14 +540,14 @@ def connected_components(spark, sf_dir):
 
 @query()
 def k_means_clusters(spark, sf_dir):
-    return cluster.k_means(components.settled(all_vectors(spark, sf_dir)), 5)
+    return cluster.k_means(settled(all_vectors(spark, sf_dir)), 5)
 
 
 @query()
 def cluster_tree(spark, sf_dir):
     """The default tree over all documents, with labels."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    vector = components.settled(all_vectors(spark, sf_dir))
+    vector = settled(all_vectors(spark, sf_dir))
     node, bridge = cluster.document_tree(vector, docs)
     return node.join(cluster.node_labels(bridge, vector).withColumnRenamed("node_id", "id"), "id")
 

@@ -2,58 +2,31 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import settled
 
-_OWN: set[str] = set()
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The application's part of the shared folder (``spark.checkpoint.dir``; a temporary one where that is unset); it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(checkpoint_folder, "own", None)
-        if base is None:
-            base = checkpoint_folder.own = tempfile.mkdtemp(prefix="lodestack-core-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-    own = f"{base.rstrip('/')}/lodestack-core/{spark.sparkContext.applicationId}"
-    if own not in _OWN:
-        _OWN.add(own)
-        atexit.register(_removed, spark, own)
-    return own
-
-
-def _removed(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the JVM may have ended
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as a written table: lineage ends here, and lost executors don't matter."""
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
+def edge_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the ids in edges (a, b): the least id reachable.
 
-def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id reachable over edges (a, b).  Vertices without edges are their own component."""
-    both = settled(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct())
-    labels = settled(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("component")))
+    Rounds of least-neighbour label, then a label's label; each round's labels are a written table, and the number of
+    rounds grows with the logarithm of the longest chain.
+    """
+    both = settled(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
+    labels = settled(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("component").alias("near"))
-        step = settled(labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component")))
+        step = settled(labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component")), "labels")
         top = step.select(F.col("id").alias("__to"), F.col("component").alias("__top"))
-        labels = settled(step.join(top, step["component"] == top["__to"]).select("id", "was", F.least("component", "__top").alias("component")))
+        labels = settled(step.join(top, step["component"] == top["__to"]).select("id", "was", F.least("component", "__top").alias("component")), "labels")
         if not labels.filter("component <> was").limit(1).count():
-            break
+            return labels.select("id", "component")
         labels = labels.select("id", "component")
-    found = labels.select(F.col("id").alias("__id"), "component")
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id reachable over edges (a, b).  Vertices without edges are their own component."""
+    found = edge_components(edges).select(F.col("id").alias("__id"), "component")
     return vertices.select("id").join(found, F.col("id") == F.col("__id"), "left").select("id", F.coalesce("component", "id").alias("component"))

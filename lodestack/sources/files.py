@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import plugins
 from ..functions.text import textify
-from ..operators.components import settled
+from ..shared import settled
 
 #: First bytes of common types.
 MAGIC = [(b"%PDF-", "application/pdf"), (b"PK\x03\x04", "application/zip"), (b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"{\\rtf", "application/rtf"), (b"\x1f\x8b", "application/gzip"), (b"\xd0\xcf\x11\xe0", "application/x-ole-storage"), (b"<!DOCTYPE html", "text/html"), (b"<html", "text/html")]
