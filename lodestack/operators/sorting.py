@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import metadata_value
+from ..shared import settled
 
 CANONICAL = ("title", "supplied_id", "page_number", "id")
 
@@ -31,9 +32,10 @@ def positioned(df: DataFrame, order: list[Column], column: str = "pos") -> DataF
     """``df`` with its 0-based place in the order, by a distributed sort.
 
     The range-partitioned sort numbers rows within each partition; a table of one row a partition, so of bounded size,
-    brings the offsets.  The sorted rows are persisted, so both reads see the same partitions.
+    brings the offsets.  The sorted rows are a written table, so both reads see the same numbers, also after an executor
+    was lost, and nothing stays in memory.
     """
-    numbered = df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()).persist()
+    numbered = settled(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "sorted")
     part, within = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
     counts = sorted((r.part, r.n) for r in numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     offsets, total = [], 0

@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Id tables of at most this many rows (16 MB of longs) are broadcast; longer ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Tables of ids and a few numbers are broadcast up to this many rows, 16 MB at some 64 bytes a row in memory; longer ones are joined by a shuffle.
+BROADCAST_IDS = 250_000
 _OWN: set[str] = set()
 
 
