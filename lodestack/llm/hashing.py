@@ -7,12 +7,14 @@ then finalised by a 64-bit mixer, so a batch of texts is hashed without any per-
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -30,11 +32,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, BASE), np.full(n + 1, BASE_INVERSE)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+KEPT_POWERS = 1 << 20
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n, or more of them, of BASE and of its inverse; up to KEPT_POWERS of them are kept for the next call."""
+    if len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    size = 1 << max(16, n.bit_length())
+    made = []
+    for base in (BASE, BASE_INVERSE):
+        row = np.full(size + 1, base)
+        row[0] = 1
+        made.append(np.multiply.accumulate(row, out=row))
+    if size <= KEPT_POWERS:
+        _POWERS[:] = made
+    return made[0], made[1]
+
+
+def returning_memory(run: Callable) -> Callable:
+    """A batch function after whose last batch a task gives freed memory back, since Spark keeps Python workers alive."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
+
+
+#: Rows of a batch of whole texts sent to a Python worker.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in batches of BATCH_ROWS rows, unless the session asks for fewer: what either side buffers stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 @dataclass
@@ -47,8 +89,7 @@ class Words:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        size = 1 << max(20, int(self.data.size).bit_length())
-        up, down = _powers(size)
+        up, down = powers(int(self.data.size))
         prefix = np.zeros(self.data.size + 1, np.uint64)
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: self.data.size], out=prefix[1:])
         return mix64((prefix[self.end] - prefix[self.start]) * down[self.start])

@@ -138,6 +138,7 @@ def _resolve(words: np.ndarray, hits: np.ndarray, grams: np.ndarray, index: Inde
     return sorted((x[3], x[4], x[5], x[6]) for x in kept)
 
 
+@hashing.returning_memory
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     index = Index.standard()
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("matched", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))

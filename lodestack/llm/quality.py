@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_IDS, let
+from ..shared import few
+from .let import let
 
 SPACE = r"[\x20\x09-\x0D]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+"
@@ -76,7 +77,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Target: documents whose labels all have quality 1; raw: all documents.  The result's size is fixed, whatever the corpus.
     """
     trusted = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("q")).filter("q = 1").select("__id", F.lit(1).alias("__target"))
-    trusted = F.broadcast(trusted) if trusted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else trusted
+    trusted = few(trusted)
     texts = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text")).join(trusted, F.col("__doc") == F.col("__id"), "left")
     counts = texts.select("__target", F.explode(hashed_grams(F.col("__text"))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__target").alias("target")).collect()
     raw, target = [0] * BUCKETS, [0] * BUCKETS

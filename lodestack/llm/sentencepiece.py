@@ -16,6 +16,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from . import hashing
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Model type in a model file.
@@ -150,7 +152,7 @@ class Model:
         plain_marks = self.inner <= {MARK} and not self.trie.codes[10]
         self.quick = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n").findall if plain_marks else None
         self.known: dict[str, bytes] = {}
-        self.scalar = self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.score.tolist()
+        self.held = 0
         self.shown = ["" if t == CONTROL else " ⁇ " if t == UNKNOWN else p.replace(MARK, " ") for p, t in zip(v.pieces, v.types.tolist(), strict=True)]
         self.is_byte = v.types == BYTE
 
@@ -241,7 +243,7 @@ class Model:
 
     def segment_long(self, chunk: str) -> np.ndarray:
         """As ``segment`` for one long chunk, code point by code point."""
-        base, check, value, score = self.scalar
+        base, check, value, score = map(memoryview, (self.trie.base, self.trie.check, self.trie.value, self.score))  # read number by number, without lists of them
         codes = self.trie.codes[np.frombuffer(chunk.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()
         n, limit = len(codes), len(check)
         best, back, piece = [0.0] + [-np.inf] * n, [0] * (n + 1), [-1] * (n + 1)
@@ -273,14 +275,16 @@ class Model:
         return np.array(ids[::-1], np.int32)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Piece ids of each text; null is empty.  Up to KEEP_CHUNKS chunks are remembered with their ids from call to call."""
+        """Piece ids of each text; null is empty.  Chunks are remembered with their ids from call to call, in up to KEEP_BYTES."""
         known = self.known
         parts = [self.chunks(self.marked(t)) if t else [] for t in texts]
         new = list({c for p in parts for c in p if c not in known})
-        known.update(zip(new, [x.tobytes() for x in self.segment(new)], strict=True))
+        for chunk, ids in zip(new, self.segment(new), strict=True):
+            known[chunk] = data = ids.tobytes()
+            self.held += CHUNK_BYTES + 2 * len(chunk) + len(data)
         found = [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in parts]
-        if len(known) > KEEP_CHUNKS:
-            known.clear()
+        if self.held > KEEP_BYTES:
+            self.known, self.held = {}, 0
         return found
 
     def decode(self, ids) -> str:
@@ -300,8 +304,8 @@ class Model:
         return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
 
 
-#: Distinct chunks remembered; beyond that the memory starts anew.
-KEEP_CHUNKS = 150_000
+#: Memory for remembered chunks, beyond which it starts anew; what one takes besides its text and ids, about.
+KEEP_BYTES, CHUNK_BYTES = 24_000_000, 200
 SLICE = 64
 
 
@@ -309,6 +313,7 @@ def encode_batches(path: str, digest: bool):
     """mapInArrow function over (doc_id, text): ids as array<int>, or digests of ids and of the decoded text."""
     from hashlib import sha256
 
+    @hashing.returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model.load(path)
         for batch in batches:
@@ -336,5 +341,6 @@ def encode(docs, path: str, id_col: str = "doc_id", text_col: str = "text", dige
     """
     from pyspark.sql import functions as F
 
+    hashing.small_batches(docs.sparkSession)
     fields = "doc_id long, n_pieces long, " + ("n_byte_pieces long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode_batches(path, digest), fields)

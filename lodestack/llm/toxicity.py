@@ -41,7 +41,7 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.flatnonzero(points == 0)
     inside = _is_word()[points]
     points = np.where(inside, points, EDGE)
-    up, down = hashing._powers(1 << max(20, len(points).bit_length()))
+    up, down = hashing.powers(len(points))
     prefix = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=prefix[1:])
     edges = np.concatenate(([0], np.cumsum(~inside)))
@@ -150,6 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _score(model) -> object:
+    @hashing.returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = model.value
         for batch in batches:
@@ -174,6 +175,7 @@ def score(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_
     Null and empty texts get the bias's score; nulls in other columns pass through, repeated rows score alike, further
     columns are ignored.
     """
+    hashing.small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
