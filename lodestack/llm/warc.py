@@ -3,7 +3,9 @@
 Pages become records of gzip-per-record WARC files; a page whose payload equals that of a page with a smaller id becomes a
 revisit of it.  The index has a line per capture, keyed by the URL with its host reversed.  Lines are range-sorted and cut
 into compressed blocks of BLOCK_LINES; a sparse directory has one row per block (first key, file, offset, length).
-A lookup binary-searches the directory, unpacks the blocks that may hold the key and range-reads the records.
+A lookup sends each key to the index files whose range may hold it; there it binary-searches that file's part of the
+directory, unpacks the blocks that may hold the key and range-reads the records.  Reading a whole archive is a lookup of
+all its keys.
 
 Files go to the cluster's shared folder through pyarrow's file systems.  A task writes files of fresh names and returns
 where its records are; only what the returned table names counts, so files of lost or repeated attempts are never read.
@@ -27,9 +29,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_IDS, new_path, written
+from ..shared import BROADCAST_IDS, new_path, qualified, settled
+from . import hashing
 
 BLOCK_LINES = 256
+#: Captures of one index file, and bytes of their records, about: a file is read back by one task.
+PART_LINES, PART_BYTES, MOST_FILES = 16 * BLOCK_LINES, 1 << 28, 1 << 16
 FILE_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,13 +96,14 @@ def parse_record(record: bytes) -> dict:
 
 
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return pafs.FileSystem.from_uri(folder)
 
 
 CAPTURE = "page_id long, key string, url string, record_type string, digest string, file string, offset long, length long"
 
 
 def _write_records(folder: str):
+    @hashing.returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
@@ -126,7 +132,7 @@ def _write_records(folder: str):
     return run
 
 
-DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines long"
+DIRECTORY = "first_key string, last_key string, file string, offset long, length long, lines long, record_bytes long"
 
 
 def _write_blocks(folder: str):
@@ -134,16 +140,17 @@ def _write_blocks(folder: str):
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
         name, at, lines, keys, found = f"captures-{uuid.uuid4().hex}.gz", 0, [], [], []
-        out = None
+        out, records = None, 0
 
         def flush() -> None:
-            nonlocal at, out
+            nonlocal at, out, records
             if lines:
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
                 data = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"))
                 out.write(data)
-                found.append((keys[0], keys[-1], name, at, len(data), len(lines)))
+                found.append((keys[0], keys[-1], name, at, len(data), len(lines), records))
                 at += len(data)
+                records = 0
                 lines.clear()
                 keys.clear()
 
@@ -151,6 +158,7 @@ def _write_blocks(folder: str):
             for row in batch.to_pylist():
                 keys.append(row.pop("key"))
                 lines.append(json.dumps([keys[-1], *row.values()]))
+                records += row["length"]
                 if len(lines) >= BLOCK_LINES:
                     flush()
         flush()
@@ -194,45 +202,109 @@ def _described(record: dict) -> tuple:
     return number("x-page-id"), size, digest, h["warc-type"], number("x-refers-to-page-id"), h["warc-target-uri"]
 
 
-def _read_all(archive: str, index: str):
+WANTED = "file string, key string, last_key string, offset long, length long"
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+#: Rows of one output batch, and payload bytes, about.
+ROWS_OUT, BYTES_OUT = 512, 8_000_000
+
+
+def _to_files(bounds: list[tuple[str, str, str]]):
+    """URLs -> (file, key) for each index file (first key, last key, file; sorted) whose range may hold the key."""
+    firsts, lasts = [b[0] for b in bounds], [b[1] for b in bounds]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, records = _Reader(index), _Reader(archive)
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
-            for row in batch.to_pylist():
-                captures = sorted(_captures(blocks.read(row["file"], row["offset"], row["length"])), key=lambda c: (c["file"], c["offset"]))
-                rows = [_described(parse_record(gzip.decompress(records.read(c["file"], c["offset"], c["length"])))) for c in captures]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            out = []
+            for key in dict.fromkeys(map(url_key, batch.column(0).to_pylist())):
+                # files are ranges of (key, page): only neighbours may share a key
+                out += [(bounds[i][2], key) for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in out], pa.string()), pa.array([k for _, k in out], pa.string())], ["file", "key"])
 
     return run
 
 
+def _find(records: str, index: str, payloads: bool):
+    """Rows of WANTED, sorted: a file's directory (rows with a length) before the keys that are looked for in it -> records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, archive = _Reader(index), _Reader(records)
+        file, firsts, directory = None, [], []
+        keys: set[str] = set()
+        held: tuple[int, list[dict]] = (-1, [])
+        out: list[tuple] = []
+        size = 0
+
+        def batch_of() -> pa.RecordBatch:
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * payloads
+            names = [x.split()[0] for x in RECORD.split(", ")] + ["payload"] * payloads
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+            out.clear()
+            return made
+
+        def wanted_of_held() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for c in sorted((c for c in held[1] if c["key"] in keys), key=lambda c: (c["file"], c["offset"])):
+                record = parse_record(gzip.decompress(archive.read(c["file"], c["offset"], c["length"])))
+                out.append((*_described(record), *([record["payload"]] if payloads else [])))
+                size += len(record["payload"] or b"") if payloads else 0
+                if len(out) >= ROWS_OUT or size >= BYTES_OUT:
+                    size = 0
+                    yield batch_of()
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["file"] != file:
+                    yield from wanted_of_held()
+                    file, firsts, directory, keys, held = row["file"], [], [], set(), (-1, [])
+                if row["length"] is not None:
+                    firsts.append(row["key"])
+                    directory.append(row)
+                    continue
+                key = row["key"]
+                at = max(0, bisect.bisect_left(firsts, key) - 1)
+                while at < len(firsts) and firsts[at] <= key:
+                    if directory[at]["last_key"] >= key:
+                        if held[0] != at:
+                            yield from wanted_of_held()
+                            d = directory[at]
+                            keys, held = set(), (at, _captures(blocks.read(file, d["offset"], d["length"])))
+                        keys.add(key)
+                    at += 1
+        yield from wanted_of_held()
+        if out:
+            yield batch_of()
+
+    return hashing.returning_memory(run)
+
+
 @dataclass
 class Archive:
-    """A written archive: folders of record and index files, and the directory (a table of DIRECTORY)."""
+    """A written archive: folders of record and index files, the directory (a table of DIRECTORY), and the URLs it was made from."""
 
     records: str
     index: str
     directory: DataFrame
+    urls: DataFrame
+
+    def lookup(self, urls: DataFrame, payloads: bool = False) -> DataFrame:
+        """Captures of the URLs in the first column: a row of RECORD each, with ``payloads`` the payload too (null for a revisit).
+
+        The driver holds a range of keys for each index file, of which there are MOST_FILES at most.  A key meets the directory rows of the files whose range may
+        hold it, so a key of many captures is read by as many tasks as there are files of it.
+        """
+        files = self.directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last"), F.sum("record_bytes").alias("n")).collect()
+        bounds = sorted((r["first"], r["last"], r["file"]) for r in files)
+        keys = urls.select(F.col(urls.columns[0]).cast("string").alias("url")).mapInArrow(_to_files(bounds), "file string, key string").distinct()
+        nothing = F.lit(None).cast("long")
+        keys = keys.select("file", "key", F.lit(None).cast("string").alias("last_key"), nothing.alias("offset"), nothing.alias("length"))
+        both = self.directory.select("file", F.col("first_key").alias("key"), "last_key", "offset", "length").unionByName(keys)
+        order = ["file", F.col("length").isNull(), "key", F.col("offset")]
+        dealt = both.repartition(max(1, len(bounds)), "file").sortWithinPartitions(*order)
+        return dealt.mapInArrow(_find(self.records, self.index, payloads), RECORD + ", payload binary" * payloads)
 
     def read(self) -> DataFrame:
-        """Every record, read back by way of the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
-        return self.directory.repartition("file", "offset").mapInArrow(_read_all(self.records, self.index), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-
-    def lookup(self, url: str) -> list[dict]:
-        """Captures of a URL with their parsed records.  The directory (a row per BLOCK_LINES captures) is searched on the driver."""
-        if not hasattr(self, "_sparse"):
-            self._sparse = sorted((tuple(r) for r in self.directory.collect()), key=lambda r: (r[0], r[1]))
-        key, found = url_key(url), []
-        blocks, records = _Reader(self.index), _Reader(self.records)
-        at = max(0, bisect.bisect_left([r[0] for r in self._sparse], key) - 1)
-        while at < len(self._sparse) and self._sparse[at][0] <= key:
-            if self._sparse[at][1] >= key:
-                _, _, name, offset, length, _ = self._sparse[at]
-                found += [c for c in _captures(blocks.read(name, offset, length)) if c["key"] == key]
-            at += 1
-        return [c | parse_record(gzip.decompress(records.read(c["file"], c["offset"], c["length"]))) for c in found]
+        """Every record, read back by looking up all the URLs: a row of RECORD each."""
+        return self.lookup(self.urls)
 
 
 def write_archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> Archive:
@@ -244,16 +316,19 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     are ignored.
     """
     spark = pages.sparkSession
+    hashing.small_batches(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(text_col).alias("html"))
     digest = F.sha1(F.coalesce("html", F.lit("")))
     size = F.octet_length(F.coalesce("html", F.lit("")))
     small = rows.filter(F.col("page_id").isNotNull() & (size >= least_bytes)).select("page_id", "url", digest.alias("sha"))
     first = small.groupBy("sha").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     repeats = small.join(first, "sha").filter("page_id <> first.page_id").select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
-    repeats = written(repeats.distinct(), "repeats")
+    repeats = settled(repeats.distinct(), "repeats")
     repeats = F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS // 8 else repeats
-    records, index = new_path(spark, "warc"), new_path(spark, "capture-index")
+    records, index = (qualified(spark, new_path(spark, name)) for name in ("warc", "capture-index"))
     joined = rows.join(repeats, (rows["page_id"] == F.col("__id")) & (digest == F.col("__sha")), "left").select("page_id", "url", "html", "first", "first_url")
-    captures = written(joined.mapInArrow(_write_records(records), CAPTURE), "captures")
-    ordered = captures.select("key", "page_id", "url", "record_type", "digest", "file", "offset", "length").repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    return Archive(records, index, written(ordered.mapInArrow(_write_blocks(index), DIRECTORY), "directory"))
+    captures = settled(joined.mapInArrow(_write_records(records), CAPTURE), "captures")
+    n, size = captures.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(1, min(MOST_FILES, max(-(-n // PART_LINES), -(-size // PART_BYTES))))
+    ordered = captures.select("key", "page_id", "url", "record_type", "digest", "file", "offset", "length").repartitionByRange(parts, "key", "page_id", "file", "offset").sortWithinPartitions("key", "page_id", "file", "offset")
+    return Archive(records, index, settled(ordered.mapInArrow(_write_blocks(index), DIRECTORY), "directory"), rows.select("url"))

@@ -46,10 +46,11 @@ def test_archive_round_trip(spark):
     assert read(archive) == brute_pages(PAGES)
     assert read(warc.write_archive(df, least_bytes=5)) == brute_pages(PAGES, 5)
     assert warc.write_archive(df.limit(0)).read().count() == 0
-    found = archive.lookup("http://EXAMPLE.com/a#x")
-    assert sorted(c["page_id"] for c in found) == [3, 3, 9]
-    assert {c["payload"] for c in found} == {b"<p>same</p>", "other é🎉".encode()}
-    assert archive.lookup("http://example.com/missing") == []
+    asked = spark.createDataFrame([("http://EXAMPLE.com/a#x",), ("http://example.com/missing",), ("http://EXAMPLE.com/a#x",)], "url string")
+    found = archive.lookup(asked, payloads=True).collect()
+    assert sorted(r.page_id for r in found) == [3, 3, 9]
+    assert {bytes(r.payload) for r in found} == {b"<p>same</p>", "other é🎉".encode()}
+    assert archive.lookup(asked.limit(0)).count() == 0
 
 
 def test_archive_of_test_pages(spark):
@@ -67,8 +68,22 @@ def test_many_blocks_and_lookups(spark, monkeypatch):
     by_url = defaultdict(list)
     for i, url, _ in rows:
         by_url[url].append(i)
-    for url in list(by_url)[:25]:
-        assert sorted(c["page_id"] for c in archive.lookup(url)) == by_url[url]
+    for url in list(by_url)[:4]:
+        assert sorted(r.page_id for r in archive.lookup(spark.createDataFrame([(url,)], "url string")).collect()) == by_url[url]
+    some = list(by_url)[5::9]
+    found = archive.lookup(spark.createDataFrame([(u,) for u in some], "url string")).collect()
+    assert sorted((r.url, r.page_id) for r in found) == sorted((u, i) for u in some for i in by_url[u])
+
+
+def test_index_files_of_one_key(spark, monkeypatch):
+    """A URL with a third of all captures lies in several index files, and is found whole."""
+    monkeypatch.setattr(warc, "PART_LINES", 700)
+    df = spark.range(6000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.lit("http://hot.example/")).otherwise(F.concat(F.lit("http://h.example/"), (F.col("id") % 50).cast("string"))).alias("url"), F.col("id").cast("string").alias("html"))
+    archive = warc.write_archive(df)
+    files = archive.directory.groupBy("file").agg(F.sum("lines").alias("n")).collect()
+    assert len(files) == 9 and max(r.n for r in files) < 1500
+    assert archive.lookup(spark.createDataFrame([("http://hot.example/",)], "url string")).count() == 2000
+    assert archive.read().select("page_id").distinct().count() == archive.read().count() == 6000
 
 
 def test_records_are_plain_warc():
@@ -153,6 +168,24 @@ def test_pipeline_stages(spark):
     assert five.count() == four.count() and five.filter("n_pieces <> size(ids)").count() == 0
 
 
+def test_near_dedup_stage_of_shared_ids(spark):
+    """One row of each group stays, and a unique text stays although another row of its id goes."""
+    a, u = " ".join(f"a{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))
+    rows = [(1, a, "x"), (1, a, "x"), (2, u, "x"), (2, a, "y"), (3, a + " end", "y"), (4, "", "z"), (4, None, "z"), (None, a, "z"), (5, u + " more", "z"), (6, "v w", "z"), (6, "v w", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    got = sorted((tuple(r) for r in stage(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(1, a, "x"), (2, u, "x"), (4, "", "z"), (4, None, "z"), (None, a, "z"), (6, "v w", "z")], key=str)
+
+
+def test_copies_of_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a", f"t{i}") for i in range(10)] + [(2, "a", "x"), (None, None, "n"), (None, None, "m")], "doc_id long, source string, text string").repartition(3)
+    mixed = spark.createDataFrame([(1, "a", c) for c in (2, 2, 1, 0, 0, 3, 0, 1, 1, 1)] + [(2, "a", 3), (None, None, 1), (None, None, 0)], "doc_id long, source string, copies int")
+    counts = {(r.doc_id, r.text): r["count"] for r in mixing.taken(docs, mixed).groupBy("doc_id", "text").count().collect()}
+    assert sum(n for (i, _), n in counts.items() if i == 1) == 11 and sorted(n for (i, _), n in counts.items() if i == 1) == [1] * 9 + [2]
+    assert counts[2, "x"] == 3 and sum(n for (i, _), n in counts.items() if i is None) == 1
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
