@@ -6,7 +6,8 @@ signature put texts into buckets; candidates of a bucket are confirmed by the ex
 
 No bucket is expanded into all its pairs:
 
-1. Texts with equal shingle sets collapse into one representative (a map-side combined minimum).
+1. Texts with equal shingle sets collapse into one representative (a map-side combined minimum), numbered for itself, so
+   that rows which share a doc_id stay apart.
 2. In each bucket all members are compared with one hub, the member that shares most bands with others.  The links found
    make components; most buckets now lie in one component and are done.
 3. For a bucket that still holds several components, signatures tell which member may link to which other component;
@@ -27,9 +28,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..operators.components import edge_components
+from ..shared import few, keep_ids, settled
 from . import hashing
-from .store import keep_ids, written
 
 ROWS, BANDS = 5, 32
 #: A pair of similarity 0.8 has less than this share of equal 8-bit coordinates with probability 5e-6.
@@ -37,6 +40,10 @@ LEAST_AGREEMENT = 0.66
 BLOCK = 512
 PAIRS_AT_ONCE = 1 << 15
 EMPTY = 0xFFFFFFFF
+#: Keys of more rows than the HOT_SHARE-th part of all, and than HOT_LEAST, are joined by a broadcast: HOT_SHARE keys at most.
+HOT_SHARE, HOT_LEAST = 100_000, 64
+#: Rows of one task that compares signatures: the work is in the comparisons, not in the bytes.
+ROWS_A_TASK = 4096
 
 
 def permute(x: np.ndarray, shift: int, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
@@ -74,7 +81,13 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
 
 
+def _digests(values: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """16 bytes for each set, equal for equal sets; None for an empty one."""
+    return [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def _sign(k: int):
+    @hashing.returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -84,25 +97,43 @@ def _sign(k: int):
                 keys = band_keys(signatures(values, bounds))
                 full = np.repeat(size > 0, BANDS)
                 ends = np.concatenate(([0], np.cumsum((size > 0) * BANDS)))
-                digest = [hashlib.blake2b(values[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(size), pa.array(digest, pa.binary()), _lists(keys.ravel()[full], ends)], ["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), pa.array(size), pa.array(_digests(values, bounds), pa.binary()), _lists(keys.ravel()[full], ends)], ["doc_id", "n_shingles", "digest", "bands"])
 
     return run
 
 
 def _sets(k: int):
+    """(id, digest, text) -> the sets of the texts that have the digest."""
+
+    @hashing.returning_memory
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for low, high, data, offsets in hashing.text_slices(batch.column(1)):
+            for low, high, data, offsets in hashing.text_slices(batch.column(2)):
                 values, bounds = hashing.shingle_sets(hashing.split_words(data, offsets, lower=True), k)
                 found = signatures(values, bounds)
                 short, bands = (found & np.uint32(0xFF)).astype(np.uint8), band_keys(found)
-                yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), _lists(values.view(np.int64), bounds), pa.array([x.tobytes() for x in short], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], ["id", "shingles", "short", "bands"])
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), _lists(values.view(np.int64), bounds), pa.array([x.tobytes() for x in short], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())], ["id", "shingles", "short", "bands"])
+                wanted = batch.column(1).slice(low, high - low).to_pylist()
+                yield out.filter(pa.array([x == y for x, y in zip(_digests(values, bounds), wanted, strict=True)], pa.bool_()))
 
     return run
 
 
+def set_digests(docs: DataFrame, shingle_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``__digest``: equal for rows of equal shingle sets, null without a word."""
+    hashing.small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            found: list[bytes | None] = []
+            for _, _, data, offsets in hashing.text_slices(batch.column(at)):
+                found += _digests(*hashing.shingle_sets(hashing.split_words(data, offsets, lower=True), shingle_words))
+            yield batch.append_column("__digest", pa.array(found, pa.binary()))
+
+    return docs.mapInArrow(hashing.returning_memory(run), StructType([*docs.schema.fields, StructField("__digest", BinaryType())]))
+
+
 def _may_link(percent: int):
     """Within a part of a bucket: which asking member may link to which other component, by signature and set size."""
 
@@ -166,65 +197,65 @@ def _link_blocks(percent: int):
     return run
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
-    """(id, comp): for each id in an edge its component's least id.  Rounds of least-neighbour label, then a label's label.
+def _joined_by_size(rows: DataFrame, sized: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``sized`` (key, copies, ...), which has one row a key; copies: the rows of that key.
 
-    Each round's labels are a written table; the number of rounds grows with the logarithm of the longest chain.
+    A key's rows are not gathered: keys of many rows, at most HOT_SHARE of them by the choice of the bound, are broadcast;
+    the others have few rows each and are joined by a shuffle.
     """
-    both = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct(), f"{name}-edges")
-    labels = both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("comp"))
-    labels = written(labels, name)
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "y"), "y").groupBy(F.col("x").alias("id")).agg(F.min("comp").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        step = written(step, name)
-        jump = step.select(F.col("id").alias("__to"), F.col("comp").alias("__top"))
-        labels = step.join(jump, step["comp"] == jump["__to"]).select("id", "was", F.least("comp", "__top").alias("comp"))
-        labels = written(labels, name)
-        if not labels.filter("comp <> was").limit(1).count():
-            return labels.select("id", "comp")
-        labels = labels.select("id", "comp")
+    bound = max(HOT_LEAST, (sized.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE)
+    hot, cold = sized.filter(F.col("copies") > bound), sized.filter(F.col("copies") <= bound)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key)).drop("copies")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id).
+    """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id), digest, component.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of distinct ``shingle_words``-word
     shingles of the text with A-Z lower-cased; a shorter text's set is its whole word sequence.  ``percent`` of at least 80
     is what the banding is made for.  Null or empty texts have empty sets and link with nothing.  Rows without an id can't
-    be linked: component_id is null and they are kept.  Repeated rows count as copies of each other.  Further columns of
-    ``docs``, whatever their names, are ignored.
+    be linked: component_id is null and they are kept.  Repeated rows count as copies of each other; rows that share a
+    doc_id and have different texts are different documents, each linked by its own text.  ``digest`` tells equal sets,
+    ``component`` what is linked, also where rows share a doc_id; both are null for empty sets and rows without an id.
+    Further columns of ``docs``, whatever their names, are ignored.
     """
-    spark = docs.sparkSession
+    hashing.small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(source.mapInArrow(_sign(shingle_words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
+    signed = settled(source.mapInArrow(_sign(shingle_words), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signed")
     owned = signed.filter("digest is not null and doc_id is not null")
-    reps = owned.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r"))
-    exploded = reps.select("r.doc_id", F.col("r.n_shingles").alias("n"), F.explode("r.bands").alias("bucket"))
+    reps = owned.groupBy("digest").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("r"), F.count("*").alias("copies"))
+    # the numbers are those that the written table has, whatever a second run of a task would give
+    reps = settled(reps.select("digest", "copies", "r.doc_id", F.col("r.n_shingles").alias("n"), "r.bands", F.monotonically_increasing_id().alias("id")), "sets-of-copies")
+    exploded = reps.select("id", "n", F.explode("bands").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.count("*").alias("count")).filter("count > 1")
-    members = written(exploded.join(shared, "bucket").select("bucket", F.col("doc_id").alias("id"), "n", "count"), "members")
+    members = settled(exploded.join(shared, "bucket").select("bucket", "id", "n", "count"), "members")
 
     scores = members.groupBy("id").agg(F.sum("count").alias("score"))
     hubs = members.join(scores, "id").groupBy("bucket").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
     pairs = members.join(hubs, "bucket").filter("id <> hub").select("id", "hub").distinct()
-    ids = scores.select("id")
-    sets = written(keep_ids(source, "doc_id", ids).mapInArrow(_sets(shingle_words), "id long, shingles array<long>, short binary, bands binary"), "sets")
+    asked_for = settled(reps.join(scores.select("id"), "id", "left_semi").select("doc_id", "id", "digest"), "candidates")
+    texts = source.join(few(asked_for), "doc_id").select("id", "digest", "text")
+    sets = settled(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>, short binary, bands binary"), "sets")
+    if sets.count() > asked_for.count():  # rows that are repeated whole
+        sets = settled(sets.dropDuplicates(["id"]), "sets")
     mine, theirs = sets.select("id", "shingles"), sets.select(F.col("id").alias("hub"), F.col("shingles").alias("hub_shingles"))
     common = F.size(F.array_intersect("shingles", "hub_shingles"))
-    links = written(
+    links = settled(
         pairs.join(mine, "id").join(theirs, "hub")
         .withColumn("common", common)
         .filter(F.expr(f"100 * common >= {percent} * (size(shingles) + size(hub_shingles) - common)"))
         .select(F.col("id").alias("a"), F.col("hub").alias("b")),
         "links",
     )
-    first = components(links)
+    first = edge_components(links).withColumnRenamed("component", "comp")
 
     labelled = members.join(first, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     per_comp = labelled.groupBy("bucket", "comp").agg(F.count("*").alias("many"))
     open_ = per_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("many").alias("all"), F.max_by("comp", F.struct("many", -F.col("comp"))).alias("main_comp"), F.max("many").alias("main_many")).filter("comps > 1")
     parts = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_ = written(open_.select("bucket", "main_comp", parts(F.col("all")).alias("parts"), parts(F.col("all") - F.col("main_many")).alias("ask_parts")), "open")
+    others = F.col("all") - F.col("main_many")
+    open_ = settled(open_.select("bucket", "main_comp", parts(F.col("all")).alias("parts"), parts(others).alias("ask_parts"), (others * parts(F.col("all")) + F.col("all") * parts(others)).alias("rows")), "open")
     sizes = first.groupBy("comp").agg(F.count("*").alias("members"))
     part = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -238,8 +269,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     columns = ["bucket", "id", "n", "comp", "members", "short", "bands", "main", "p", "q", "asked"]
     asking = rest.filter("not main").withColumn("q", part(F.col("ask_parts"))).withColumn("p", spread("parts")).withColumn("asked", F.lit(True))
     replying = rest.withColumn("p", part(F.col("parts"))).withColumn("q", spread("ask_parts")).withColumn("asked", F.lit(False))
-    met = asking.select(*columns).union(replying.select(*columns))
-    maybe = written(met.groupBy("bucket", "p", "q").applyInPandas(_may_link(percent), "u long, comp long").distinct(), "maybe")
+    tasks = 1 + int(open_.agg(F.sum("rows")).first()[0] or 0) // ROWS_A_TASK
+    met = asking.select(*columns).union(replying.select(*columns)).repartition(tasks, "bucket", "p", "q")
+    maybe = settled(met.groupBy("bucket", "p", "q").applyInPandas(_may_link(percent), "u long, comp long").distinct(), "maybe")
 
     queries = maybe.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_parts"))
     targets = queries.join(sizes, "comp", "left").select("comp", "query_parts", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -248,12 +280,40 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     member = single.union(first.select("comp", "id").join(targets.select("comp"), "comp", "left_semi").select("comp", "id")).distinct()
     member = member.join(targets, "comp").select("comp", "id", spread("query_parts").alias("q"), part(F.col("blocks")).alias("b"), F.lit(1).alias("role"))
     more = asked.union(member).join(mine, "id").groupBy("comp", "q", "b").applyInPandas(_link_blocks(percent), "a long, b long")
-    more = written(more, "more-links")
+    more = settled(more, "more-links")
     if more.limit(1).count():
-        first = components(links.union(more), name="all-components")
-
-    reps_of = owned.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    final = reps_of.join(first, reps_of["rep"] == first["id"], "left").select("digest", F.coalesce("comp", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(final, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        first = edge_components(links.union(more)).withColumnRenamed("component", "comp")
+
+    placed = settled(reps.select("id", "digest", "copies", "doc_id").join(first, "id", "left"), "placed")
+    joined = placed.filter("comp is not null").select("digest", "comp", F.col("copies").alias("rows"), "doc_id")
+    least = settled(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies")), "least")
+    found = _joined_by_size(joined, least, "comp").select("digest", F.col("rows").alias("copies"), "component_id", F.col("comp").alias("component"))
+    alone = placed.filter("comp is null").select("digest", "copies", F.col("doc_id").alias("component_id"), F.col("id").alias("component"))
+    found = settled(found.unionByName(alone), "components")
+    rows = signed.select("doc_id", "n_shingles", "digest")
+    linked = _joined_by_size(rows.filter("digest is not null and doc_id is not null"), found, "digest")
+    others = rows.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("component"))
+    out = linked.select("doc_id", "n_shingles", "component_id", "digest", "component").unionByName(others)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "digest", "component")
+
+
+def without_near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which one of each group of near-duplicates is left: the one of least id.
+
+    Of a group's rows with that id the one with the least digest stays, and of equal ones of those one row.  So repeated
+    rows leave one, and a row whose text is unique stays whatever rows share its id.  Rows without an id or a word stay.
+    """
+    found = settled(near_duplicates(docs, shingle_words, percent, id_col, text_col), "near-duplicates")
+    ids = settled(found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("kept").alias("stays")), "ids")
+    out = keep_ids(docs, id_col, ids.filter("n > 1 or not stays").select("doc_id"), "left_anti")
+    many = settled(ids.filter("n > 1").select("doc_id"), "shared-ids")
+    n_many = many.count()
+    if not n_many:
+        return out
+    same = settled(set_digests(keep_ids(docs, id_col, many, rows=n_many), shingle_words, id_col, text_col), "rows-of-shared-ids")
+    best = keep_ids(found.filter("kept and digest is not null"), "doc_id", many, rows=n_many).groupBy("component").agg(F.min("doc_id").alias("__of"), F.min("digest").alias("__best"))
+    best = few(settled(best.select("__of", "__best"), "stay"))
+    rows = same.join(best, (F.col(id_col) == F.col("__of")) & (F.col("__digest") == F.col("__best")), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = rows.groupBy(F.col(id_col).alias("__of"), "__digest").agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return out.unionByName(one).unionByName(same.filter("__digest is null").select(*docs.columns))
