@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import few, settled
+from .let import let
 from .quality import words_of
-from .store import let
 
 WORDS = 5
 K = 128
-#: Documents per bucket of the id order, and the most buckets: the bucket table is broadcast.
-PER_BUCKET, MOST_BUCKETS = 32, 1 << 16
+#: Documents per bucket of the id order, and the most buckets: their bounds are one array, and a row each is broadcast.
+PER_BUCKET, MOST_BUCKETS = 64, 1 << 17
+BROADCAST_BYTES = 16_000_000
 
 
 def sketch(text: Column, k: int = K) -> Column:
@@ -60,30 +62,67 @@ def shown(s: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(s, lambda x: F.lpad(F.hex(x), 16, "0")), "")))
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the next row in descending ``key`` order; after the last comes the first.
+def _bucket(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most ``key``: a binary search."""
+    if not bounds:
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
 
-    Keys are cut into at most MOST_BUCKETS ranges; each range is one window partition, and gets beside its own rows the
-    row that ends the range before it.  That needs one shuffle of the rows and a broadcast of one id a range, no sort of
-    all rows in one task.  Rows of equal key are ordered by the carried columns.  Rows with a null key stand outside the
-    order: their next is null.
+    def search(t: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            def half(middle: Column) -> Column:
+                below = F.coalesce(F.get(t, middle) <= key, F.lit(False)) & (acc["low"] < acc["high"])
+                return F.struct(F.when(below, middle + 1).otherwise(acc["low"]).alias("low"), F.when(below, acc["high"]).otherwise(F.least(middle, acc["high"])).alias("high"))
+
+            return let(F.floor((acc["low"] + acc["high"]) / 2).cast("int"), half)
+
+        start = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1)), start, step, lambda acc: acc["low"])
+
+    return let(table, search)
+
+
+def with_next(docs: DataFrame, key: str, value: str) -> DataFrame:
+    """``docs`` with ``next_<value>``, of the row of the next smaller key (a long); after the least comes the greatest.
+
+    The keys alone are range-sorted first; every n-th of them, of MOST_BUCKETS at most, bounds a bucket, so buckets have
+    like numbers of rows however the keys lie.  Each bucket is one window partition and gets beside its own rows the row
+    that ends the bucket before it: one shuffle of the rows, and a broadcast of one key a bucket.  Rows of one key have the
+    same next; that of the key above is the least ``value`` among them.  Only one row of such a key goes through the
+    window, the others are joined to it.  Rows with a null key stand outside the order: their next is null.
     """
     spark = docs.sparkSession
-    low, high, n = docs.agg(F.min(key), F.max(key), F.count(key)).first()
+    nothing = F.lit(None).cast(docs.schema[value].dataType).alias(f"next_{value}")
+    keyed = docs.filter(F.col(key).isNotNull())
+    counts = keyed.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n"))
+    counts = settled(counts.repartitionByRange("__key").sortWithinPartitions("__key").withColumn("__at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "keys")
+    n, high, repeats = counts.agg(F.count("*"), F.max("__key"), F.count(F.when(F.col("__n") > 1, 1))).first()
+    alone = docs.filter(F.col(key).isNull()).select("*", nothing)
     if n == 0:
-        return docs.select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(f"next_{c}") for c in carried])
-    width = (high - low) // max(1, min(MOST_BUCKETS, n // PER_BUCKET)) + 1
-    bucket = F.expr(f"`{key}` div {width}L")
-    last = docs.filter(F.col(key).isNotNull()).groupBy(bucket.alias("b")).agg(F.max(key).alias("last"))
-    order = Window.orderBy("b")  # at most MOST_BUCKETS rows
-    ends = last.select("b", F.coalesce(F.lag("last").over(order), F.lit(high)).alias("ends"))
-    ends = F.broadcast(spark.createDataFrame([(r.b, r.ends) for r in ends.collect()], "__for long, __ends long"))
-    guests = docs.join(ends, F.col(key) == F.col("__ends")).select(*docs.columns, F.col("__for").alias("__bucket"), F.lit(True).alias("__guest"))
-    own = docs.select("*", bucket.alias("__bucket"), F.lit(False).alias("__guest"))
-    w = Window.partitionBy("__bucket").orderBy(F.desc("__guest"), key, *carried)
-    both = own.union(guests).select("*", *[F.lag(c).over(w).alias(f"next_{c}") for c in carried])
-    nexts = [F.when(F.col(key).isNotNull(), F.col(f"next_{c}")).alias(f"next_{c}") for c in carried]
-    return both.filter("not __guest").select(*docs.columns, *nexts)
+        return alone
+    width = max(PER_BUCKET, n // MOST_BUCKETS)
+    bounds = sorted(r[0] for r in counts.filter(F.col("__at") % width == 0).select("__key").collect())[1:]
+    ends = counts.select("__key", _bucket(F.col("__key"), bounds).alias("b")).groupBy("b").agg(F.max("__key").alias("last")).collect()  # a row a bucket
+    after = [(r["last"], r.b + 1) for r in ends if r["last"] != high] + [(high, 0)]
+    ends = F.broadcast(spark.createDataFrame(after, "__end long, __for int"))
+
+    single = keyed
+    if repeats:
+        many = few(counts.filter("__n > 1").select("__key"))
+        least = keyed.join(many, F.col(key) == F.col("__key"), "left_semi").groupBy(key).agg(F.min(value).alias(value))
+        single = keyed.join(many, F.col(key) == F.col("__key"), "left_anti").unionByName(least, allowMissingColumns=True)
+    guests = single.join(ends, F.col(key) == F.col("__end")).select(F.lit(None).cast("long").alias("__own"), value, F.col("__for").alias("__bucket"))
+    own = single.select("*", F.col(key).alias("__own"), _bucket(F.col(key), bounds).alias("__bucket"))
+    w = Window.partitionBy("__bucket").orderBy(F.col("__own").asc_nulls_first())
+    placed = own.unionByName(guests, allowMissingColumns=True).withColumn(f"next_{value}", F.lag(value).over(w)).filter("__own is not null")
+    if not repeats:
+        return placed.select(*docs.columns, f"next_{value}").unionByName(alone)
+    placed = settled(placed.select(*docs.columns, f"next_{value}"), "in-order")
+    nexts = settled(placed.join(many, F.col(key) == F.col("__key"), "left_semi").select(F.col(key).alias("__of"), f"next_{value}"), "nexts")
+    size = nexts.agg(F.sum(F.octet_length(F.coalesce(f"next_{value}", F.lit(""))) + 64)).first()[0] or 0
+    nexts = F.broadcast(nexts) if size <= BROADCAST_BYTES else nexts
+    others = keyed.join(nexts, F.col(key) == F.col("__of")).select(*docs.columns, f"next_{value}")
+    return placed.join(many, F.col(key) == F.col("__key"), "left_anti").unionByName(others).unionByName(alone)
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -96,10 +135,11 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Each document with its sketch, its edited text's (see ``edited``) and the next document's, in descending id order.
 
     Null texts are empty.  A document without an id has no next one: its edited text just loses the second half, and its
-    next sketch is empty.  Repeated rows are each other's next.  Further columns of ``docs`` are ignored.
+    next sketch is empty.  Rows that share an id have the same next document, that of the next smaller id; the next one of
+    the id above is the least text among them.  Further columns of ``docs`` are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows, "doc_id", ["text"])
+    rows = with_next(rows, "doc_id", "text")
     text = rows.select("doc_id", "text", F.coalesce("next_text", F.lit("")).alias("next_text"))
     text = text.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     return text.select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", sketch(F.col("text")).alias("sketch"), sketch(F.col("edited")).alias("edited_sketch"), sketch(F.col("next_text")).alias("next_sketch"))
