@@ -4,7 +4,8 @@ Pattern spans come from splitting a text at a pattern: the lengths of the pieces
 patterns are written with possessive quantifiers and a look-behind, so each runs in linear time; they match exactly what
 the plain patterns match leftmost and without overlap.
 
-Protected entities are the kinds of personal data.  For a term t within CONTEXT_WORDS words of an entity of kind e,
+Protected entities are the four base kinds and secrets: long opaque runs of letters and digits, such as keys, outside the
+base spans.  For a term t within CONTEXT_WORDS words of an entity of kind e,
 pointwise mutual information over corpus counts, PMI(t; e) = log2(n(t,e) N / (n(t) n(e))), is at most the entity's
 information content IC(e) = log2(N / n(e)); their quotient is the share of the entity that the term discloses.  Terms
 above REMOVE_AT are removed, terms above GENERALISE_AT replaced by a general word.  A term needs LEAST_SUPPORT
@@ -20,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import let, written
+from ..shared import settled
+from .let import let
 
 #: The pattern of each kind, in the order in which spans of one start are listed.
 KINDS = {
@@ -29,8 +31,13 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-ORDER = [*KINDS, "general", "removed"]
-HOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "general": "[TERM]", "removed": ""}
+#: Kinds of entity that the method adds to the base ones.
+ADDED = {"secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+"}
+PROTECTED = KINDS | ADDED
+#: Different characters of a secret.
+LEAST_VARIETY = 8
+ORDER = [*PROTECTED, "general", "removed"]
+HOLDERS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "secret": "[SECRET]", "general": "[TERM]", "removed": ""}
 CONTEXT_WORDS = 5
 GENERALISE_AT, REMOVE_AT = 0.8, 0.9
 LEAST_SUPPORT = 5
@@ -55,11 +62,13 @@ def _valid(kind: str, match: Column) -> Column:
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(digits).between(10, 15)
+    if kind == "secret":
+        return (digits != "") & match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(match, ""))) >= LEAST_VARIETY)
     return F.lit(True)
 
 
 def _may_have(kind: str, text: Column) -> Column:
-    return {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike(r"[0-9][\x20.-]?[0-9]"))
+    return {"email": text.contains("@"), "phone": text.contains("+"), "secret": text.rlike(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20}")}.get(kind, text.rlike(r"[0-9][\x20.-]?[0-9]"))
 
 
 def _cut(text: Column, pattern: str) -> Column:
@@ -97,10 +106,19 @@ def _placed(cut: Column, wanted, kind_of) -> Column:
     return F.when(F.size(cut["matches"]) > 0, found).otherwise(none)
 
 
+def _spans_of(text: Column, kind: str) -> Column:
+    found = let(_cut(text, PROTECTED[kind]), lambda c: _placed(c, lambda m, *_: _valid(kind, m), lambda *_: F.lit(ORDER.index(kind))))
+    return F.when(_may_have(kind, text), found).otherwise(F.array().cast(SPAN))
+
+
 def base_spans(text: Column) -> Column:
-    """All valid pattern spans, by start and then kind."""
-    of = lambda kind, n: F.when(_may_have(kind, text), let(_cut(text, KINDS[kind]), lambda c: _placed(c, lambda m, *_: _valid(kind, m), lambda *_: F.lit(n)))).otherwise(F.array().cast(SPAN))
-    return F.sort_array(F.concat(*[of(kind, n) for n, kind in enumerate(KINDS)]))
+    """All valid spans of the base patterns, by start and then kind."""
+    return F.sort_array(F.concat(*[_spans_of(text, kind) for kind in KINDS]))
+
+
+def added_spans(text: Column, base: Column) -> Column:
+    """Spans of the added kinds that touch no base span."""
+    return F.concat(*[_free(_spans_of(text, kind), base) for kind in ADDED])
 
 
 def _contexts(text: Column, kind: str) -> Column:
@@ -119,7 +137,7 @@ def _contexts(text: Column, kind: str) -> Column:
         around = lambda p, n: F.slice(p, F.greatest(n - CONTEXT_WORDS + 1, F.lit(1)), F.least(n, F.lit(CONTEXT_WORDS)) + CONTEXT_WORDS)
         return let(plain, lambda p: F.flatten(F.transform(before, lambda n: around(p, n))))
 
-    return F.when(_may_have(kind, text), let(let(_cut(text, KINDS[kind]), marked), near)).otherwise(none)
+    return F.when(_may_have(kind, text), let(let(_cut(text, PROTECTED[kind]), marked), near)).otherwise(none)
 
 
 def _broadcast(rows: DataFrame, n_bytes: Column) -> DataFrame:
@@ -135,17 +153,17 @@ def term_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, what): "general" or "removed", from co-occurrence counts over all documents; of as many terms as qualify."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     of = lambda kind: F.transform(_contexts(text, kind), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("term")))
-    near = docs.select(F.explode(F.concat(*map(of, KINDS))).alias("x")).select("x.*")
-    counts = written(near.groupBy("kind", "term").agg(F.count("*").alias("n")), "contexts")
+    near = docs.select(F.explode(F.concat(*map(of, PROTECTED))).alias("x")).select("x.*")
+    counts = settled(near.groupBy("kind", "term").agg(F.count("*").alias("n")), "contexts")
     slots = {r.kind: r.n for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}  # one row a kind
     support = counts.filter(F.col("n") >= LEAST_SUPPORT)
-    wanted = written(support.select("term").distinct(), "support")
+    wanted = settled(support.select("term").distinct(), "support")
     words = F.filter(F.split(F.lower(text), NOT_LETTERS, -1), lambda w: w != "")
     held = _broadcast(wanted, _term_bytes())
     counted = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))
     if held is not wanted:  # words that aren't asked for meet in the row of null before the shuffle
         counted = docs.select(F.explode(words).alias("word")).join(held, F.col("word") == F.col("term"), "left").groupBy(F.col("term").alias("word")).agg(F.count("*").alias("uses"))
-    counted = written(counted, "uses")
+    counted = settled(counted, "uses")
     everything = counted.agg(F.sum("uses")).first()[0] or 0
     content = {kind: math.log2(everything / n) for kind, n in slots.items() if n < everything}
     if not content:
@@ -153,7 +171,7 @@ def term_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     by_kind = lambda values: F.coalesce(*[F.when(F.col("kind") == kind, F.lit(float(values[kind]))) for kind in content])
     disclosed = F.log2(F.col("n") * F.lit(float(everything)) / (F.col("uses") * by_kind(slots))) / by_kind(content)
     shares = support.join(counted, F.col("term") == F.col("word")).groupBy("term").agg(F.max(disclosed).alias("share"))
-    return written(shares.filter(F.col("share") >= GENERALISE_AT).select("term", F.when(F.col("share") >= REMOVE_AT, "removed").otherwise("general").alias("what")), "terms")
+    return settled(shares.filter(F.col("share") >= GENERALISE_AT).select("term", F.when(F.col("share") >= REMOVE_AT, "removed").otherwise("general").alias("what")), "terms")
 
 
 def disclosing_terms(docs: DataFrame, text_col: str = "text") -> dict[str, str]:
@@ -166,7 +184,7 @@ def _free(spans: Column, base: Column) -> Column:
 
 
 def term_spans(text: Column, base: Column, terms: dict[str, str]) -> Column:
-    """Spans of the disclosing terms that don't touch a pattern span."""
+    """Spans of the disclosing terms that touch no span of ``base``."""
     none = F.array().cast(SPAN)
     if not terms:
         return none
@@ -194,7 +212,7 @@ def _with_hits(docs: DataFrame, terms: DataFrame, text: Column) -> DataFrame:
     words = docs.select(_digest(text).alias("digest"), F.posexplode(F.transform(F.regexp_extract_all(text, F.lit(LETTERS), F.lit(0)), F.lower)).alias("pos", "word"))
     kind = F.when(F.col("what") == "removed", ORDER.index("removed")).otherwise(ORDER.index("general"))
     found = words.join(_broadcast(terms, _term_bytes()), F.col("word") == F.col("term")).select("digest", "pos", kind.alias("kind")).distinct()
-    hits = written(found.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "kind"))).alias("__hits")), "hits")
+    hits = settled(found.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("pos", "kind"))).alias("__hits")), "hits")
     hits = _broadcast(hits, F.size("__hits") * 24 + 96).withColumnRenamed("digest", "__of")
     none = F.array().cast("array<struct<pos:int,kind:int>>")
     return docs.join(hits, _digest(text) == F.col("__of"), "left").drop("__of").withColumn("__hits", F.coalesce("__hits", none))
@@ -235,7 +253,7 @@ def _sanitised(text: Column, spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, terms: dict[str, str] | DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct ``__pii``: counts by kind, base_sha256, spans and the sanitised text.
+    """``docs`` with a struct ``__pii``: counts by kind, base_sha256, spans, the sanitised text, and the numbers of entities and terms.
 
     One narrow pass without a shuffle for terms in a dict, or a term_table of up to LISTED_TERMS rows; a longer table is joined.
 
@@ -250,11 +268,14 @@ def find_personal_data(docs: DataFrame, terms: dict[str, str] | DataFrame, text_
         docs = _with_hits(docs, terms, text)
 
     def described(b: Column) -> Column:
-        named = _hit_spans(b["text"], b["base"], b["hits"]) if joined else term_spans(b["text"], b["base"], terms)
-        every = F.sort_array(F.concat(b["base"], named))
-        of = lambda n: F.size(F.filter(b["base"], lambda s: s["kind"] == n)).cast("long")
-        counts = [of(n).alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
-        return let(every, lambda e: F.struct(*counts, F.sha2(_listed(b["base"]), 256).alias("base_sha256"), _listed(e).alias("spans"), _sanitised(b["text"], e).alias("clean")))
+        def whole(entities: Column) -> Column:
+            named = _hit_spans(b["text"], entities, b["hits"]) if joined else term_spans(b["text"], entities, terms)
+            of = lambda n: F.size(F.filter(entities, lambda s: s["kind"] == n)).cast("long")
+            counts = [of(n).alias(f"n_{kind}") for n, kind in enumerate(PROTECTED)]
+            last = lambda e: [F.size(entities).cast("long").alias("n_entities"), (F.size(e) - F.size(entities)).cast("long").alias("n_terms")]
+            return let(F.sort_array(F.concat(entities, named)), lambda e: F.struct(*counts, F.sha2(_listed(b["base"]), 256).alias("base_sha256"), _listed(e).alias("spans"), _sanitised(b["text"], e).alias("clean"), *last(e)))
+
+        return let(F.concat(b["base"], added_spans(b["text"], b["base"])), whole)
 
     hits = [F.col("__hits").alias("hits")] if joined else []
     return docs.withColumn("__pii", let(text, lambda t: let(F.struct(t.alias("text"), base_spans(t).alias("base"), *hits), described))).drop("__hits")

@@ -34,7 +34,7 @@ def op2_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find_personal_data(docs, pii.term_table(docs))
-    return found.select("doc_id", *[f"__pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")], F.sha2(F.coalesce("__pii.clean", F.lit("")), 256).alias("clean_sha256"))
+    return found.select("doc_id", *[f"__pii.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")], F.sha2(F.coalesce("__pii.clean", F.lit("")), 256).alias("clean_sha256"), *[f"__pii.{c}" for c in ("n_secret", "n_entities", "n_terms")])
 
 
 def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents")).drop("digest", "component")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,25 @@ def test_near_duplicates_awkward(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rows_ = [(1, GOOD), (1, GOOD), (2, "unique " + " ".join(f"u{i}" for i in range(40))), (2, GOOD), (3, GOOD + " more"), (None, GOOD)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    by = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found if r.doc_id is not None)
+    n, more, unique = len(shingles(GOOD, 4)), len(shingles(GOOD + " more", 4)), 38
+    assert by == sorted([(1, n, 1), (1, n, 1), (2, unique, 2), (2, n, 1), (3, more, 1)])
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
+
+
+def test_a_hot_set_and_a_hot_component(spark, monkeypatch):
+    """Sets and components of many rows are joined by a broadcast; the result is the same."""
+    near = [" ".join([*[f"w{j}" for j in range(60)], f"end{i}"]) for i in range(30)]
+    texts = dict(enumerate([GOOD] * 40 + near + ["lonely one", ""]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for least in (4, 10**6):
+        monkeypatch.setattr(near_dup, "HOT_LEAST", least)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df).collect()} == brute_components(texts)
+
+
 # quality
 
 
@@ -129,6 +148,15 @@ def luhn(digits):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
+def brute_secrets(text, base):
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}", text or ""):
+        free = all(m.end() <= int(s.split(":")[1]) or int(s.split(":")[2]) <= m.start() for s in base)
+        if free and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and len(set(m[0])) >= 8:
+            out.append(f"secret:{m.start()}:{m.end()}")
+    return out
+
+
 def brute_spans(text):
     out = []
     for n, (kind, pattern) in enumerate(PATTERNS):
@@ -142,26 +170,31 @@ def brute_spans(text):
 
 TRICKY = [
     "a@b.c%d@e.f, x@y.z.", "@a.b a@b a@b. a@-b.c-", "1.2.3.4.5.6.7.8 256.1.1.1 0255.01.1.1 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 41111111111111111111111",
-    "+1 (017) 555-7713 +12 345 +1 234 567 890 123 456 7 ++1 4111 1111 1111 1111", "🎉é me@ex.am 10.0.0.1 日本+49 170 1234567", "a" * 4000 + "@b.co " + "1" * 3000, "x@a.b" * 700, "é@a.b c.d@e.f@g.h",
+    "+1 (017) 555-7713 +12 345 +1 234 567 890 123 456 7 ++1 4111 1111 1111 1111", "🎉é me@ex.am 10.0.0.1 日本+49 170 1234567", "a" * 4000 + "@b.co " + "1" * 3000, "x@a.b" * 700, "é@a.b c.d@e.f@g.h", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" key1234567890abcdefghijk@mail.example.com aaaaaaaaaaaaaaaaaaaaaaa1",
 ]
 
 
 def test_personal_data_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in documents(spark).collect()} | {10**6 + i: t for i, t in enumerate([*TRICKY, *AWKWARD])}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    n_secrets = 0
     for r in pii.find_personal_data(df, {}).select("doc_id", "__pii.*").collect():
         want = brute_spans(texts[r.doc_id])
-        assert r.spans == ",".join(want)
+        secrets = brute_secrets(texts[r.doc_id], want)
+        every = sorted(want + secrets, key=lambda x: (int(x.split(":")[1]), pii.ORDER.index(x.split(":")[0])))
+        n_secrets += len(secrets)
+        assert r.spans == ",".join(every) and (r.n_secret, r.n_entities, r.n_terms) == (len(secrets), len(every), 0)
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k + ":") for x in want) for k, _ in PATTERNS]
         text, at, clean = texts[r.doc_id] or "", 0, []
-        for s in want:
+        for s in every:
             kind, a, b = s.split(":")
             a, b = int(a), int(b)
             if a >= at:
                 clean += [text[at:a], pii.HOLDERS[kind]]
             at = max(at, b)
         assert r.clean == "".join(clean) + text[at:]
+    assert n_secrets
 
 
 def test_disclosing_terms_against_brute_force(spark):
@@ -271,9 +304,83 @@ def test_fingerprints_awkward(spark):
     assert fingerprint.compare_with_next(one).first().edited == "a b c da b"[:7] + "a b c "[:6]
 
 
+def test_order_of_uneven_and_repeated_ids(spark, monkeypatch):
+    """Outlier ids put no bucket's rows out of proportion, and rows of one id have the same next one."""
+    monkeypatch.setattr(fingerprint, "PER_BUCKET", 8)
+    ids = [*range(0, 900, 3), 2**62, -(2**63), 2**63 - 1, 7, 7, 7, 300, None, None]
+    rows_ = [(i, f"text {i} of {n % 2}") for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").repartition(5)
+    least = {}
+    for i, t in rows_:
+        if i is not None:
+            least[i] = min(t, least.get(i, t))
+    order = sorted(least, reverse=True)
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    for most in (fingerprint.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(fingerprint, "BROADCAST_BYTES", most)
+        found = fingerprint.with_next(df, "doc_id", "text").collect()
+        assert sorted((str(r.doc_id), r.text) for r in found) == sorted((str(i), t) for i, t in rows_)
+        assert all(r.next_text == (None if r.doc_id is None else least[following[r.doc_id]]) for r in found)
+    bounds = [1, 5, 9, 12, 100]
+    got = spark.range(-3, 120).select("id", fingerprint._bucket(F.col("id"), bounds).alias("b")).collect()
+    assert all(r.b == sum(x <= r.id for x in bounds) for r in got)
+
+
 # mixing
 
 
+def brute_targets(sizes):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(sizes.values()))
+    while free:
+        whole = sum(weight[s] for s in free)
+        over = {s for s in free if left * weight[s] / whole > 3 * sizes[s]}
+        if not over:
+            return target | {s: left * weight[s] / whole for s in free}
+        target |= {s: 3.0 * sizes[s] for s in over}
+        left, free = left - sum(3 * sizes[s] for s in over), free - over
+    return target
+
+
+def test_targets_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    for n in (1, 2, 7, 40):
+        sizes = {f"s{i}é" if i else None: rng.choice([0, 1, 5, 100, 10_000, 10**12]) for i in range(n)}
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+        assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_mixing_equal_rows_and_tiny_ratios(spark, monkeypatch):
+    """Rows without id and of equal size fly in chunks of bounded size; a source far larger than its target gives its words all the same."""
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two three").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "b", "w " * 5000)], docs.schema))
+    table = mixing._numbered(docs.select("source", "doc_id", F.lit(3).cast("long").alias("size")))
+    chunks = [r["count"] for r in table.groupBy(F.pmod("row", F.lit(20))).count().collect()]
+    assert table.count() == 5001 and max(chunks) < 400 and len(chunks) == 20
+    found = mixing.mix(docs).collect()
+    assert len(found) == 5001 and abs(sum(r.taken for r in found if r.source == "a") - found[0].target if found[0].source == "a" else 0) <= 3
+    import numpy as np
+
+    p = mixing.fly(np.full(300, 10.0**6), np.full(300, 5e-7), np.random.default_rng(1), mixing.LANDING)
+    assert p.sum() == pytest.approx(300 * 5e-7)
+
+
+def test_landing_is_the_nearest_rounding():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        size, p = rng.integers(1, 900, 7).astype(float), rng.random(7)
+        got = mixing.land(size, p)
+        off = lambda x: abs(float(np.dot(size, x)) - float(np.dot(size, p)))
+        assert off(got) == pytest.approx(min(map(off, itertools.product((0.0, 1.0), repeat=7))))
+
+
 def test_mixing(spark):
     docs = documents(spark)
     found = mixing.mix(docs).collect()
