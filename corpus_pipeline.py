@@ -5,18 +5,18 @@ Between stages the rows are written as Parquet and read again, so a stage's work
 executors.
 
 Awkward rows have the operators' results: a null or empty text fails the quality rules; a row without a doc_id is nobody's
-copy and is kept by near_dedup_stage; rows that share a doc_id, or have none, share the copies of the mix evenly; repeated
-rows are copies of each other.  Empty tables give empty tables.  Further columns pass through all stages but the last.
+copy and is kept by near_dedup_stage; repeated rows are copies of each other, and rows that share a doc_id but not the text
+are documents of their own; in the mix, rows that share doc_id and source, or have none, share their copies evenly.  Empty tables give empty tables.  Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import mixing, near_dup, pii, quality, sentencepiece
 from lodestack.llm.queries import piece_model
-from lodestack.llm.store import BROADCAST_IDS, keep_ids, written
+from lodestack.shared import settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least doc_id stays."""
-    dropped = written(near_dup.near_duplicates(docs, shingle_words=5).filter("not kept").select("doc_id"), "dropped")
-    return keep_ids(docs, "doc_id", dropped, "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) one row, of the least doc_id, stays."""
+    return near_dup.without_near_duplicates(docs, shingle_words=5)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,20 +38,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are dropped or repeated so that the sources' words come near their targets."""
-    copies = written(mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__n")), "copies")
-    key = copies.withColumnRenamed("doc_id", "__id")
-    single = key.filter("__n = 1")
-    single = F.broadcast(single) if single.count() <= BROADCAST_IDS else single
-    rows = docs.join(single, F.col("doc_id").eqNullSafe(F.col("__id")))
-    shared = key.filter("__n > 1")
-    n_shared = shared.count()
-    if n_shared:  # rows of one doc_id, or of none, share its copies evenly
-        shared = F.broadcast(shared) if n_shared <= BROADCAST_IDS else shared
-        same = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("__id")))
-        place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source"))
-        each = F.floor(F.col("__copies") / F.col("__n")) + (place <= F.col("__copies") % F.col("__n")).cast("long")
-        rows = rows.unionByName(same.withColumn("__copies", each))
-    return rows.withColumn("__copy", F.explode(F.expr("if(__copies > 0, sequence(1L, __copies), array())"))).select(*docs.columns)
+    return mixing.taken(docs, mixing.mix(docs))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
-            docs = written(docs, name)
+            docs = settled(docs, name)
     return docs
