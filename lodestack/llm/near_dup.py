@@ -37,7 +37,8 @@ from . import hashing
 ROWS, BANDS = 5, 32
 #: A pair of similarity 0.8 has less than this share of equal 8-bit coordinates with probability 5e-6.
 LEAST_AGREEMENT = 0.66
-BLOCK = 512
+#: Members of a bucket, and rows with whole sets, that are compared in one block.
+BLOCK, SET_BLOCK = 512, 128
 PAIRS_AT_ONCE = 1 << 15
 EMPTY = 0xFFFFFFFF
 #: Keys of more rows than the HOT_SHARE-th part of all, and than HOT_LEAST, are joined by a broadcast: HOT_SHARE keys at most.
@@ -273,8 +274,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     met = asking.select(*columns).union(replying.select(*columns)).repartition(tasks, "bucket", "p", "q")
     maybe = settled(met.groupBy("bucket", "p", "q").applyInPandas(_may_link(percent), "u long, comp long").distinct(), "maybe")
 
-    queries = maybe.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_parts"))
-    targets = queries.join(sizes, "comp", "left").select("comp", "query_parts", F.ceil(F.coalesce("members", F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    queries = maybe.groupBy("comp").agg(F.ceil(F.count("*") / SET_BLOCK).cast("int").alias("query_parts"))
+    targets = queries.join(sizes, "comp", "left").select("comp", "query_parts", F.ceil(F.coalesce("members", F.lit(1)) / SET_BLOCK).cast("int").alias("blocks"))
     asked = maybe.withColumnRenamed("u", "id").join(targets, "comp").select("comp", "id", part(F.col("query_parts")).alias("q"), spread("blocks").alias("b"), F.lit(0).alias("role"))
     single = targets.select("comp", F.col("comp").alias("id"))  # a component's least member; the only one of those without links
     member = single.union(first.select("comp", "id").join(targets.select("comp"), "comp", "left_semi").select("comp", "id")).distinct()
