@@ -16,7 +16,7 @@ from . import plugins
 from .functions import ids as id_functions
 from .functions.text import clean_metadata, term_rows, terms, textify, weighted_terms
 from .operators import cluster, components, facets, highlight, lookups, mutate, selection, vectors
-from .operators.index import build_postings, dictionary, save_postings
+from .operators.index import document_dictionary, save_index
 from .plans.parser import parse
 from .shared import new_path, settled, table_state
 from .sinks import export
@@ -72,19 +72,21 @@ def object_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEXES: dict[tuple, str] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The term index of the documents: written once a session and state of the table, sorted by field and term, and then read by every search."""
+def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The term index and its dictionary of the documents: written once a session and state of the table, sorted by field and term, and then read by every search."""
     key = (spark.sparkContext.applicationId, sf_dir, table_state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _INDEXES:
         path = new_path(spark, "index")
-        save_postings(build_postings(documents(spark, sf_dir), ["lang", "source"], "simple", offsets=False), path)
+        save_index(documents(spark, sf_dir), path, ["lang", "source"], "simple", offsets=False)
         _INDEXES[key] = path
-    return spark.read.schema("id long, field string, term string, pos int, begin int, end int, document_set_id long").parquet(_INDEXES[key])
+    postings = spark.read.schema("id long, field string, term string, pos int, begin int, end int, document_set_id long").parquet(f"{_INDEXES[key]}/postings")
+    return postings, spark.read.schema("field string, term string, n_docs long").parquet(f"{_INDEXES[key]}/dictionary")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> selection.Corpus:
     docs = documents(spark, sf_dir)
-    return selection.Corpus(docs, index(spark, sf_dir), document_tag(spark, sf_dir), node_document(spark, sf_dir), object_link(spark, sf_dir), ("lang", "source"), "simple")
+    postings, terms_ = index(spark, sf_dir)
+    return selection.Corpus(docs, postings, document_tag(spark, sf_dir), node_document(spark, sf_dir), object_link(spark, sf_dir), ("lang", "source"), "simple", terms_)
 
 
 def searched(spark: SparkSession, sf_dir: str, **request) -> DataFrame:
@@ -171,8 +173,7 @@ def search_scan(spark, sf_dir):
 
 @query(D + "SELECT term, CAST(count(DISTINCT id) AS BIGINT) AS n_docs FROM (SELECT id, unnest(t) AS term FROM d) GROUP BY term")
 def term_dictionary(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("id", "text")
-    return dictionary(build_postings(docs, [], "simple", offsets=False)).select("term", "n_docs")
+    return document_dictionary(documents(spark, sf_dir).select("id", "text")).select("term", "n_docs")
 
 
 @query()
@@ -447,7 +448,8 @@ def parse_ids(spark, sf_dir):
 
 
 def lexed(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).alias("id"), weighted_terms(terms(F.col("text")), [], {}).alias("terms"))
+    texts = table(spark, sf_dir, name).select(F.col(key).alias("id"), "text").repartition("id")
+    return texts.select("id", weighted_terms(terms(F.col("text")), [], {}).alias("terms"))
 
 
 LEX = r"""WITH x AS (SELECT {1} AS id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: length(w) >= 3 AND NOT (regexp_matches(w, '^[0-9]') AND length(regexp_replace(w, '[^0-9]', '', 'g')) * 10 >= length(w) * 4)) AS t0 FROM {0}),
@@ -485,7 +487,7 @@ l AS (SELECT term, 2 * (ab * ln(p1) + (a - ab) * (CASE WHEN p1 < 1 THEN ln(1 - p
 
 @query(DOCS + LLR.format(5) + "SELECT term, round(likelihood, 3) AS likelihood FROM l WHERE likelihood >= 30 AND above")
 def bigram_likelihood(spark, sf_dir):
-    df = vectors.document_frequencies(vectors.term_frequencies(lexed(spark, sf_dir)))
+    df = settled(vectors.document_frequencies(vectors.term_frequencies(lexed(spark, sf_dir))), "document-frequencies")
     return vectors.collocations(df).select("term", F.round("likelihood", 3).alias("likelihood"))
 
 
@@ -562,13 +564,3 @@ def threshold_components(spark, sf_dir):
 @query(r"SELECT doc_id AS id, unnest(range(0, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')))) AS pos FROM documents")
 def term_positions(spark, sf_dir):
     return term_rows(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.col("pos").cast("long").alias("pos"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(Q)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-

@@ -61,3 +61,8 @@ def intersect(frames: list[DataFrame]) -> DataFrame | None:
     for frame in frames:
         out = frame if out is None else out.join(frame, "id", "left_semi")
     return out
+
+
+def of_set(frame: DataFrame, document_set_id: int) -> DataFrame:
+    """Ids of one document set: those of another set never meet them in an intersection."""
+    return frame.filter(set_of(F.col("id")) == document_set_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import unicodedata
 
@@ -28,7 +29,12 @@ def textify(text: Column) -> Column:
 
 
 def textify_bytes(data: Column, charset: str) -> Column:
-    """Decoded with replacement of what isn't valid, then cleaned."""
+    """Decoded with replacement of what isn't valid, then cleaned.  UTF-8 and Latin 1 stay in the JVM; others are an Arrow UDF."""
+    name = codecs.lookup(charset).name
+    if name == "utf-8":
+        return textify(F.make_valid_utf8(data.cast("string")))
+    if name == "iso8859-1":
+        return textify(F.decode(data, "ISO-8859-1"))
 
     def decoded(values: pd.Series) -> pd.Series:
         return values.map(lambda b: None if b is None else bytes(b).decode(charset, "replace"))
@@ -37,8 +43,25 @@ def textify_bytes(data: Column, charset: str) -> Column:
 
 
 def truncated(text: Column, units: int = MOST_UNITS) -> Column:
-    """At most ``units`` code points; a code point is never split."""
-    return F.substring(text, 1, units)
+    """At most ``units`` UTF-16 units; a code point is never split.
+
+    A code point beyond U+FFFF counts twice.  A text with any is cut where their number and its length reach the limit;
+    since each cut leaves out code points only, a few rounds find the place: the number beyond U+FFFF in the first n.
+    """
+    beyond = lambda t: F.length(t) - F.length(F.regexp_replace(t, "[\\x{10000}-\\x{10FFFF}]", ""))
+    short = F.substring(text, 1, units)
+
+    def cut(t: Column) -> Column:
+        # binary search for the greatest n with n + beyond(first n) <= units
+        def step(acc: Column, _: Column) -> Column:
+            middle = F.ceil((acc["low"] + acc["high"]) / 2).cast("int")
+            fits = middle + beyond(F.left(t, middle)) <= units
+            return F.struct(F.when(fits, middle).otherwise(acc["low"]).alias("low"), F.when(fits, acc["high"]).otherwise(F.greatest(middle - 1, acc["low"])).alias("high"))
+
+        start = F.struct(F.lit(units // 2).alias("low"), F.length(t).alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(units.bit_length() + 1)), start, step, lambda acc: F.left(t, acc["low"]))
+
+    return F.when(F.length(short) + beyond(short) <= units, short).otherwise(cut(short))
 
 
 def terms(text: Column) -> Column:
@@ -122,6 +145,11 @@ LONGEST_TERM = 40
 IMPORTANT = 5.0
 
 
+def short_tokens(tokens: Column, most: int = LONGEST_TERM) -> Column:
+    """Tokens of fewer than ``most`` characters: what the lexer is given for clustering."""
+    return F.filter(tokens, lambda t: F.length(t) < most)
+
+
 def weighted_terms(tokens: Column, stop: list[str], emphasis: dict[str, float]) -> Column:
     """The clustering lexer over an array of tokens: array of struct(term, weight).
 

@@ -49,6 +49,12 @@ def totals(df: DataFrame, **sums: str | Column) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()])
 
 
+def set_counts(documents: DataFrame, errors: DataFrame) -> DataFrame:
+    """document_set_id, n_documents and n_errors of each set that has any: kept with the set after documents were added."""
+    both = documents.select("document_set_id", F.lit(1).alias("d"), F.lit(0).alias("e")).unionByName(errors.select("document_set_id", F.lit(0).alias("d"), F.lit(1).alias("e")))
+    return both.groupBy("document_set_id").agg(F.sum("d").alias("n_documents"), F.sum("e").alias("n_errors"))
+
+
 def views_and_trees(view: DataFrame, tree: DataFrame, literal: bool = False) -> DataFrame:
     """document_set_id, n of views and trees together.  ``literal``: two equal counts are counted once."""
     per = lambda df: df.groupBy("document_set_id").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from html import escape
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import analyze, fold, query_terms, utf8_offset, utf16_offset
@@ -77,7 +77,14 @@ def highlights(text: str, query: Query, utf16: bool = True) -> list[tuple[int, i
         else:
             spans.append([begin, end])
     spans = spans[:MOST_PASSAGES]
-    return [(utf16_offset(text, a), utf16_offset(text, b)) for a, b in spans] if utf16 else [(a, b) for a, b in spans]
+    if not utf16 or text.isascii():
+        return [(a, b) for a, b in spans]
+    out, at, unit = [], 0, 0  # one walk over the text, not one a span
+    for a, b in spans:
+        first = unit + utf16_offset(text[at:a], a - at)
+        at, unit = b, first + utf16_offset(text[a:b], b - a)
+        out.append((first, unit))
+    return out
 
 
 def sentences(text: str, most: int = SNIPPET_CHARS) -> Iterator[tuple[int, int]]:
@@ -122,6 +129,37 @@ def snippet_html(text: str, found: list[dict]) -> str:
     return "".join(out)
 
 
+def may_match(text: Column, query: Query) -> Column:
+    """False only for texts in which no positive leaf matches: a test in the JVM that spares Python the other texts.
+
+    Only plain ASCII words are tested, as parts of the lower-cased text, and only in ASCII texts; whatever folding could
+    change passes.
+    """
+    wanted = _needed(query)
+    if wanted is None:
+        return F.lit(True)
+    low, hit = F.lower(text), text.rlike(r"[^\x00-\x7F]")
+    for words in wanted:
+        every = F.lit(True)
+        for w in words:
+            every = every & low.contains(w)
+        hit = hit | every
+    return F.coalesce(hit, F.lit(False))
+
+
+def _needed(query: Query) -> list[list[str]] | None:
+    """For each positive leaf on the text the words that a match needs; None if some leaf can't be told so."""
+    if isinstance(query, (And, Or)):
+        parts = [_needed(n) for n in query.nodes]
+        return None if any(p is None for p in parts) else [w for p in parts for w in p]
+    if isinstance(query, (Not, Regex)) or not hasattr(query, "field") or query.field.kind not in ("all", "text"):
+        return []
+    words = query_terms(query.text)
+    if isinstance(query, Fuzzy) or not all(w.isascii() and w.isalnum() for w in words):
+        return None
+    return [words] if words else []
+
+
 def highlight_documents(docs: DataFrame, query: Query) -> DataFrame:
     """(id, highlights) of documents with matches in their text; offsets in UTF-16 units."""
 
@@ -130,7 +168,7 @@ def highlight_documents(docs: DataFrame, query: Query) -> DataFrame:
             spans = [[{"begin": a, "end": b} for a, b in highlights(t or "", query)] for t in batch.text]
             yield pd.DataFrame({"id": batch.id, "highlights": spans})
 
-    return docs.select("id", "text").mapInPandas(run, "id long, highlights array<struct<begin:int,end:int>>").filter(F.size("highlights") > 0)
+    return docs.select("id", "text").filter(may_match(F.col("text"), query)).mapInPandas(run, "id long, highlights array<struct<begin:int,end:int>>").filter(F.size("highlights") > 0)
 
 
 def snippet_documents(docs: DataFrame, query: Query) -> DataFrame:
@@ -145,7 +183,7 @@ def snippet_documents(docs: DataFrame, query: Query) -> DataFrame:
                     rows.append((i, [{"begin": s["begin"], "end": s["end"], "highlights": [{"begin": a, "end": b} for a, b in s["highlights"]]} for s in found], snippet_html(t, found)))
             yield pd.DataFrame(rows, columns=["id", "snippets", "html"])
 
-    return docs.select("id", "text").mapInPandas(run, "id long, snippets array<struct<begin:int,end:int,highlights:array<struct<begin:int,end:int>>>>, html string")
+    return docs.select("id", "text").filter(may_match(F.col("text"), query)).mapInPandas(run, "id long, snippets array<struct<begin:int,end:int,highlights:array<struct<begin:int,end:int>>>>, html string")
 
 
 def highlight_json(text: str, query: Query) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import metadata_value, terms, tokens
 
-#: Metadata fields indexed per document set.
+#: Metadata fields indexed per document set; ``unindexed_fields`` names the others.
 MOST_FIELDS = 100
 
 
@@ -28,6 +28,11 @@ def field_texts(docs: DataFrame, metadata_fields: list[str] = ()) -> dict[str, C
     return out
 
 
+def unindexed_fields(metadata_fields: list[str]) -> list[str]:
+    """Fields beyond MOST_FIELDS, which no search finds."""
+    return list(metadata_fields)[MOST_FIELDS:]
+
+
 def build_postings(docs: DataFrame, metadata_fields: list[str] = (), analyzer: str = "unicode", offsets: bool = True) -> DataFrame:
     """One pass over ``docs`` (id, optional document_set_id, title, text, pdf_notes, metadata_json); no shuffle.
 
@@ -59,3 +64,29 @@ def without_documents(postings: DataFrame, ids: DataFrame) -> DataFrame:
 def dictionary(postings: DataFrame) -> DataFrame:
     """field, term, number of documents."""
     return postings.groupBy("field", "term").agg(F.countDistinct("id").alias("n_docs"))
+
+
+def document_dictionary(docs: DataFrame, metadata_fields: list[str] = (), analyzer: str = "simple") -> DataFrame:
+    """As ``dictionary`` of the postings of ``docs``, from each document's distinct terms: one map-side combined count."""
+    read = (lambda text: F.transform(tokens(text, analyzer), lambda t: t["term"])) if analyzer != "simple" else terms
+    fields = [F.struct(F.lit(name).alias("field"), F.array_distinct(read(text)).alias("terms")) for name, text in field_texts(docs, metadata_fields).items()]
+    rows = docs.select(F.explode(F.array(*fields)).alias("f")).select("f.field", F.explode("f.terms").alias("term"))
+    return rows.groupBy("field", "term").agg(F.count("*").alias("n_docs"))
+
+
+def save_index(docs: DataFrame, path: str, metadata_fields: list[str] = (), analyzer: str = "unicode", offsets: bool = True) -> None:
+    """Postings, and beside them their dictionary, which fuzzy and prefix terms are looked up in."""
+    save_postings(build_postings(docs, metadata_fields, analyzer, offsets), f"{path}/postings")
+    document_dictionary(docs, metadata_fields, analyzer).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{path}/dictionary")
+
+
+def reindexed(postings: DataFrame, docs: DataFrame, metadata_fields: list[str] = (), analyzer: str = "unicode", document_set_id: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """The index after a reindex job: of one document set, of some documents, or of all."""
+    if document_set_id is not None:
+        docs, postings = docs.filter(F.col("document_set_id") == document_set_id), postings.filter(F.col("document_set_id") != document_set_id)
+    elif ids is not None:
+        docs, postings = docs.join(ids.select("id").distinct(), "id", "left_semi"), without_documents(postings, ids)
+    else:
+        postings = postings.limit(0)
+    fresh = build_postings(docs, metadata_fields, analyzer)
+    return postings.select(*fresh.columns).unionByName(fresh)

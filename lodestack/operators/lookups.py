@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import settled
+
 
 def tags_of(ids: DataFrame, document_tag: DataFrame, tag: DataFrame) -> DataFrame:
     """(id, tag_id, name) for a selection's documents."""
@@ -38,6 +40,23 @@ def file_exists(file2: DataFrame, ids_in_set: DataFrame) -> DataFrame:
     return file2.withColumn("__root", F.coalesce("root_id", "id")).join(ids_in_set.select(F.col("id").alias("__root")), "__root", "left_semi").drop("__root")
 
 
+def unfinished_files(file2: DataFrame) -> DataFrame:
+    """Files of an interrupted ingest that still have work, with ``n_ingested_children``.
+
+    A file that isn't processed, or has no children, comes by itself; a processed one brings its children that aren't
+    ingested, and theirs.  Each round goes one level down, over a written table.
+    """
+    rows = settled(file2.filter("ingested_at is null"), "not-ingested")
+    done = file2.filter("ingested_at is not null and parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("n_ingested_children"))
+    level = settled(rows.filter("parent_id is null").select("id", "processed_at", "n_children"), "level")
+    found = level.select("id")
+    while level.limit(1).count():
+        parents = level.filter("processed_at is not null and n_children > 0").select(F.col("id").alias("parent_id"))
+        level = settled(rows.join(parents, "parent_id", "left_semi").select("id", "processed_at", "n_children"), "level")
+        found = found.union(level.select("id"))
+    return rows.join(found, "id", "left_semi").join(done, "id", "left").withColumn("n_ingested_children", F.coalesce("n_ingested_children", F.lit(0)))
+
+
 def with_sha1(rows: DataFrame, sha1_hex: str, column: str = "sha1") -> DataFrame:
     return rows.filter(F.lower(F.hex(column)) == sha1_hex.lower())
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import number_of, pack
+from ..shared import few, settled
+from .sorting import positioned
 
 #: The tag colours that a tag's name is hashed to.
 PALETTE = [
@@ -41,12 +43,25 @@ def delete_links(links: DataFrame, gone: DataFrame) -> DataFrame:
     return links.join(gone.select("document_id", "store_object_id").distinct(), ["document_id", "store_object_id"], "left_anti")
 
 
-def edit(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """``changes``: id and the new values of some columns; null leaves a value as it is."""
+def edit(documents: DataFrame, changes: DataFrame, write_nulls: bool = False) -> DataFrame:
+    """``changes``: id, once each, and the new values of some columns; null leaves a value as it is, or with ``write_nulls`` is one."""
     columns = [c for c in changes.columns if c != "id"]
-    new = changes.select("id", *[F.col(c).alias(f"__{c}") for c in columns])
+    new = changes.select("id", F.lit(True).alias("__changed"), *[F.col(c).alias(f"__{c}") for c in columns])
     joined = documents.join(new, "id", "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in documents.columns])
+    value = lambda c: F.when(F.col("__changed"), F.col(f"__{c}")).otherwise(F.col(c)) if write_nulls else F.coalesce(f"__{c}", c)
+    return joined.select(*[value(c).alias(c) if c in columns else F.col(c) for c in documents.columns])
+
+
+def edit_indexed(documents: DataFrame, postings: DataFrame, changes: DataFrame, metadata_fields: list[str] = (), analyzer: str = "unicode", sorts=None, write_nulls: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents after an edit and their index, in which only the edited ones are indexed anew; their sets' sorts are dropped from ``sorts``."""
+    from .index import reindexed
+
+    ids = settled(changes.select("id").distinct(), "edited")
+    after = edit(documents, changes, write_nulls)
+    if sorts is not None:
+        for row in documents.join(ids, "id", "left_semi").select("document_set_id").distinct().toLocalIterator():
+            sorts.changed(row.document_set_id)
+    return after, reindexed(postings, after, metadata_fields, analyzer, ids=ids)
 
 
 def rebased(df: DataFrame, columns: list[str], new_set_id: int) -> DataFrame:
@@ -63,11 +78,11 @@ def clone(tables: dict[str, DataFrame], new_set_id: int, first_tag_id: int) -> d
     if "errors" in tables:
         out["errors"] = owned(tables["errors"])
     if "tag" in tables:
-        old = sorted(r.id for r in tables["tag"].select("id").collect())  # a set's tags, made by hand
-        names = F.broadcast(tables["tag"].sparkSession.createDataFrame([(i, first_tag_id + n) for n, i in enumerate(old)], "__old long, __new long"))
-        out["tag"] = owned(tables["tag"].join(names, tables["tag"]["id"] == names["__old"]).withColumn("id", F.col("__new")).drop("__old", "__new"))
+        names = settled(positioned(tables["tag"].select(F.col("id").alias("__old")), [F.col("__old")]).select("__old", (F.col("pos") + first_tag_id).alias("__new")), "new-tags")
+        kind = tables["tag"].schema["id"].dataType
+        out["tag"] = owned(tables["tag"].join(names, tables["tag"]["id"] == names["__old"]).withColumn("id", F.col("__new").cast(kind)).drop("__old", "__new"))
         if "document_tag" in tables:
-            links = tables["document_tag"].join(names, F.col("tag_id") == F.col("__old")).withColumn("tag_id", F.col("__new")).drop("__old", "__new")
+            links = tables["document_tag"].join(few(names), F.col("tag_id") == F.col("__old")).withColumn("tag_id", F.col("__new").cast(tables["document_tag"].schema["tag_id"].dataType)).drop("__old", "__new")
             out["document_tag"] = rebased(links, ["document_id"], new_set_id)
     if "tree" in tables:
         out["tree"] = owned(rebased(tables["tree"], ["id", "root_node_id"], new_set_id))
@@ -79,9 +94,13 @@ def clone(tables: dict[str, DataFrame], new_set_id: int, first_tag_id: int) -> d
 
 
 def delete_set(tables: dict[str, DataFrame], document_set_id: int) -> dict[str, DataFrame]:
-    """Every table with a document_set_id loses the set's rows; bridges lose those of its documents."""
+    """Every table with a document_set_id loses the set's rows; bridges lose those of its documents; files that only it uses go."""
     keep = lambda c: (F.shiftright(F.col(c), 32) != document_set_id) | F.col(c).isNull()
-    return {name: df.filter(F.coalesce(F.col("document_set_id") != document_set_id, F.lit(True))) if "document_set_id" in df.columns else df.filter(keep("document_id")) if "document_id" in df.columns else df for name, df in tables.items()}
+    out = {name: df.filter(F.coalesce(F.col("document_set_id") != document_set_id, F.lit(True))) if "document_set_id" in df.columns else df.filter(keep("document_id")) if "document_id" in df.columns else df for name, df in tables.items()}
+    if "file" in tables and "document_set_file" in tables:
+        gone = unshared_files(tables["document_set_file"], document_set_id).select(F.col("file_id").alias("id"))
+        out["file"] = tables["file"].join(gone, "id", "left_anti")
+    return out
 
 
 def unshared_files(document_set_file: DataFrame, document_set_id: int) -> DataFrame:
@@ -104,8 +123,6 @@ def tag_color(name: str) -> str:
 
 def next_numbers(new: DataFrame, existing: DataFrame, document_set_id: int, order: list[Column]) -> DataFrame:
     """New rows with ids that follow the set's greatest; an empty set starts at number 0."""
-    from .sorting import positioned
-
     top = existing.filter(F.col("document_set_id") == document_set_id).agg(F.max("id")).first()[0]
     top = (document_set_id << 32) - 1 if top is None else top
     return positioned(new, order, "__n").withColumn("id", F.lit(top + 1) + F.col("__n")).drop("__n")

@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from .. import plugins
 from ..functions.ids import bits_to_numbers, ids_frame
 from ..plans.ast import And, Everything, Not, Query, Regex, Warn, missing_fields
-from ..plans.compile import IndexSearch, regex_rules
+from ..plans.compile import MOST_EXPANSIONS, IndexSearch, regex_rules
 from ..plans.parser import parse
+from ..shared import BROADCAST_IDS, settled
 from .sorting import canonical_order, field_order, page, positioned
 
-BROADCAST_IDS = 1_000_000
-
 
 @dataclass(frozen=True)
 class SelectionRequest:
@@ -65,6 +64,8 @@ class Corpus:
     document_store_object: DataFrame | None = None
     metadata_fields: tuple[str, ...] = ()
     analyzer: str = "unicode"
+    dictionary: DataFrame | None = None
+    most_expansions: int | None = MOST_EXPANSIONS
 
     @property
     def spark(self) -> SparkSession:
@@ -119,7 +120,7 @@ def in_bitset(docs: DataFrame, document_set_id: int, encoded: str) -> DataFrame:
 
 
 def search_ids(corpus: Corpus, query: Query, warnings: list[Warn]) -> DataFrame:
-    search = IndexSearch(corpus.postings, corpus.documents.select("id"), corpus.analyzer)
+    search = IndexSearch(corpus.postings, corpus.documents.select("id"), corpus.analyzer, corpus.most_expansions, corpus.dictionary)
     found = search.search(query)
     warnings += search.warnings
     return found
@@ -145,9 +146,9 @@ def filtered(corpus: Corpus, request: SelectionRequest, warnings: list[Warn]) ->
         docs = linked(docs, corpus.document_store_object, "store_object_id", request.store_object_ids)
     docs = with_tags(docs, corpus.document_tag, request.tag_ids, request.tagged, request.tag_operation) if request.tag_ids or request.tagged is not None else docs
     for name, ids, operation in request.view_filters:
-        try:
-            docs = docs.join(plugins.FILTERS[name](corpus.spark, list(ids), operation).select("id"), "id", "left_semi")
-        except Exception as e:  # a failing plug-in filters nothing
+        try:  # the ids are made here, so that a plug-in which fails while it runs filters nothing, too
+            docs = docs.join(settled(plugins.FILTERS[name](corpus.spark, list(ids), operation).select("id"), "view-filter"), "id", "left_semi")
+        except Exception as e:  # noqa: BLE001  whatever the plug-in raises
             warnings.append(Warn("ViewFilterError", name, f"{type(e).__name__}: {e}"))
     if not _only_regexes(query):
         docs = docs.join(search_ids(corpus, query, warnings), "id", "left_semi")
@@ -177,7 +178,7 @@ def select(corpus: Corpus, request: SelectionRequest, regex_limit: int | None =
         rest = [n for n in (query.nodes if isinstance(query, And) else [query]) if not _only_regexes(n)]
         plain = Corpus(**corpus.__dict__)
         docs = _filter_tree(plain, request, And(tuple(rest)) if rest else Everything(), warnings)
-        first = docs.orderBy(*order).limit(regex_limit + 1).persist()
+        first = settled(docs.orderBy(*order).limit(regex_limit + 1), "regex-candidates")
         if first.count() > regex_limit:
             warnings.append(Warn("RegexLimited", request.q, str(regex_limit)))
         docs = first.orderBy(*order).limit(regex_limit)
@@ -185,8 +186,7 @@ def select(corpus: Corpus, request: SelectionRequest, regex_limit: int | None =
             docs = docs.filter(rule.column(docs))
     else:
         docs = filtered(corpus, request, warnings)
-    needed = [c for c in ("id", "title", "supplied_id", "page_number", "metadata_json") if c in docs.columns]
-    return Selection(positioned(docs.select(*needed), order).select("pos", "id"), warnings)
+    return Selection(positioned(docs.select(*_order_columns(docs)), order).select("pos", "id"), warnings)
 
 
 def _filter_tree(corpus: Corpus, request: SelectionRequest, query: Query, warnings: list[Warn]) -> DataFrame:
@@ -196,7 +196,7 @@ def _filter_tree(corpus: Corpus, request: SelectionRequest, query: Query, warnin
 
 
 class SelectionCache:
-    """Selections by request, for ``ttl`` seconds; ``refresh`` makes anew."""
+    """Selections by request, for ``ttl`` seconds; ``refresh`` makes anew.  A selection's rows are a written table."""
 
     def __init__(self, ttl: float = 3600.0, now=time.monotonic):
         self.ttl, self.now, self.held = ttl, now, {}
@@ -204,18 +204,60 @@ class SelectionCache:
     def find_or_create(self, corpus: Corpus, request: SelectionRequest, refresh: bool = False) -> Selection:
         key, now = request.key(), self.now()
         for old in [k for k, (t, _) in self.held.items() if now - t > self.ttl]:
-            self.held.pop(old)[1].rows.unpersist()
+            del self.held[old]
         if refresh or key not in self.held:
             selection = select(corpus, request)
-            selection.rows = selection.rows.persist()
+            selection.rows = settled(selection.rows, "selection")
             self.held[key] = (now, selection)
         return self.held[key][1]
 
+    def find(self, key: str) -> Selection | None:
+        """A selection by the key of its request, while it is held."""
+        made, selection = self.held.get(key, (None, None))
+        return selection if made is not None and self.now() - made <= self.ttl else None
+
+
+class SortCache:
+    """Positions of a document set's documents by (set, field), each sorted once; ``changed`` drops a set's when its documents change."""
+
+    def __init__(self):
+        self.held: dict[tuple[int, str], DataFrame] = {}
+
+    def positions(self, corpus: Corpus, document_set_id: int, field_name: str = "") -> DataFrame:
+        """(id, pos) of all documents of the set, in the field's order or, without one, the canonical order."""
+        key = (document_set_id, field_name)
+        if key not in self.held:
+            docs = corpus.documents.filter(F.col("document_set_id") == document_set_id)
+            order = field_order(F.col("metadata_json"), field_name) if field_name else canonical_order()
+            self.held[key] = settled(positioned(docs.select(*_order_columns(docs)), order).select("id", "pos"), "positions")
+        return self.held[key]
+
+    def changed(self, document_set_id: int, field_name: str | None = None) -> None:
+        """Forget a set's positions: by one field, or, as titles and the set of documents count in every order, all."""
+        for key in [k for k in self.held if k[0] == document_set_id and field_name in (None, k[1])]:
+            del self.held[key]
+
+    def ordered(self, corpus: Corpus, document_set_id: int, found: DataFrame, field_name: str = "") -> DataFrame:
+        """(pos, id) of some documents of the set: places in the whole set's order are closed up, by a sort of numbers only."""
+        whole = self.positions(corpus, document_set_id, field_name)
+        return positioned(whole.join(found.select("id"), "id", "left_semi").withColumnRenamed("pos", "__at"), [F.col("__at")]).select("pos", "id")
+
+
+def _order_columns(docs: DataFrame) -> list[str]:
+    return [c for c in ("id", "title", "supplied_id", "page_number", "metadata_json") if c in docs.columns]
+
 
 API_FIELDS = ("id", "documentSetId", "isFromOcr", "metadata", "pageNumber", "suppliedId", "text", "title", "tokens", "url")
 DEFAULT_FIELDS = ("id", "pageNumber", "suppliedId", "title", "url")
 
 
+def documents_for_clustering(documents: DataFrame, document_tag: DataFrame | None = None, tag_id: int | None = None) -> DataFrame:
+    """A set's documents, or only those with one tag, in canonical order."""
+    if tag_id is not None:
+        documents = linked(documents, document_tag, "tag_id", (tag_id,))
+    return documents.orderBy(*canonical_order())
+
+
 def parse_fields(text: str) -> tuple[str, ...]:
     """Known names of a comma list, id always among them; the default ones if none is known."""
     asked = [x for x in (text or "").split(",") if x in API_FIELDS]

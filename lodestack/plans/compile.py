@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, metadata_value, query_terms
@@ -18,16 +19,23 @@ from .ast import And, Everything, Field, Fuzzy, Leaf, Not, Or, Prefix, Proximity
 
 MOST_EXPANSIONS = 1000
 MOST_FUZZ = 2
+#: Terms written into a filter.
+MOST_LISTED = 1000
 
 
 @dataclass
 class IndexSearch:
-    """Searches of one document set.  postings: its index, None if there is none; ids: all its document ids."""
+    """Searches of one document set.  postings: its index, None if there is none; ids: all its document ids.
+
+    dictionary: the index's (field, term), in which fuzzy terms and prefixes are looked up; without one, the postings are.
+    ``most_expansions``: terms that the last word of a phrase prefix may stand for, with a warning beyond; None for any number.
+    """
 
     postings: DataFrame | None
     ids: DataFrame
     analyzer: str = "unicode"
-    most_expansions: int = MOST_EXPANSIONS
+    most_expansions: int | None = MOST_EXPANSIONS
+    dictionary: DataFrame | None = None
     warnings: list[Warn] = field(default_factory=list)
 
     def search(self, query: Query) -> DataFrame:
@@ -56,13 +64,26 @@ class IndexSearch:
         return self._leaf(query)
 
     def _rows(self, f: Field) -> DataFrame:
-        names = {"all": ["title", "text"], "metadata": [f"meta:{f.name}"]}.get(f.kind, [f.kind])
-        return self.postings.filter(F.col("field").isin(names))
+        return self.postings.filter(F.col("field").isin(self._names(f)))
+
+    def _names(self, f: Field) -> list[str]:
+        return {"all": ["title", "text"], "metadata": [f"meta:{f.name}"]}.get(f.kind, [f.kind])
+
+    def _terms(self, f: Field) -> DataFrame:
+        """Terms of a field, each once."""
+        source = self.postings if self.dictionary is None else self.dictionary
+        return source.filter(F.col("field").isin(self._names(f))).select("term").distinct()
 
     def _leaf(self, leaf: Leaf) -> DataFrame:
         rows, nothing = self._rows(leaf.field), self.ids.select("id").limit(0)
         if isinstance(leaf, Fuzzy):
-            return rows.filter(self._fuzzy(leaf)).select("id").distinct()
+            test = self._fuzzy(leaf)
+            if self.dictionary is None:
+                return rows.filter(test).select("id").distinct()
+            near = self._terms(leaf.field).filter(test)
+            found = [r.term for r in near.limit(MOST_LISTED + 1).collect()]
+            few = len(found) <= MOST_LISTED  # a list prunes the sorted postings; a longer one is joined
+            return (rows.filter(F.col("term").isin(found)) if few else rows.join(near, "term", "left_semi")).select("id").distinct()
         terms = query_terms(leaf.text, self.analyzer)
         if not terms:
             return nothing
@@ -70,7 +91,9 @@ class IndexSearch:
             last = terms[-1]
             if len(terms) == 1:
                 return rows.filter(F.col("term").startswith(last)).select("id").distinct()
-            found = [r.term for r in rows.filter(F.col("term").startswith(last)).select("term").distinct().orderBy("term").limit(self.most_expansions + 1).collect()]
+            if self.most_expansions is None:
+                return self._phrase_prefix(rows, terms[:-1], last)
+            found = [r.term for r in self._terms(leaf.field).filter(F.col("term").startswith(last)).orderBy("term").limit(self.most_expansions + 1).collect()]
             if len(found) > self.most_expansions:
                 self.warnings.append(Warn("TooManyExpansions", leaf.text, str(self.most_expansions)))
             found = found[: self.most_expansions]
@@ -89,6 +112,15 @@ class IndexSearch:
         places = [F.col(f"p{i}") for i in range(len(terms))]
         return per.filter(placed(places, slop)).select("id").distinct()
 
+    def _phrase_prefix(self, rows: DataFrame, first: list[str], prefix: str) -> DataFrame:
+        """Documents with the first words and, right behind them, any word that begins with the prefix."""
+        tests = [F.col("term") == t for t in first] + [F.col("term").startswith(prefix)]
+        hit = F.lit(False)
+        for t in tests:
+            hit = hit | t
+        per = rows.filter(hit).groupBy("id", "field").agg(*[F.sort_array(F.collect_set(F.when(t, F.col("pos")))).alias(f"p{i}") for i, t in enumerate(tests)])
+        return per.filter(placed([F.col(f"p{i}") for i in range(len(tests))], 0)).select("id").distinct()
+
     def _fuzzy(self, leaf: Fuzzy) -> Column:
         most = MOST_FUZZ if leaf.distance is None else leaf.distance
         if most > MOST_FUZZ:
@@ -202,17 +234,29 @@ class RegexRule:
         return ~hit if self.negated else hit
 
 
+def pattern_error(pattern: str) -> str | None:
+    """What Java, which runs the patterns, finds wrong with one; None for a good one.  Without a session Python's rules stand in."""
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None:
+            spark._jvm.java.util.regex.Pattern.compile(pattern)
+        else:
+            re.compile(pattern)
+    except (IllegalArgumentException, re.error) as e:
+        return str(e).partition("\n")[0]
+    return None
+
+
 def regex_rules(query: Query) -> tuple[list[RegexRule], list[Warn]]:
     """Regexes that stand alone or in the top-level AND, maybe negated, are rules; deeper ones are ignored with a warning."""
     rules, warnings = [], []
     for node in query.nodes if isinstance(query, And) else [query]:
         bare = node.node if isinstance(node, Not) else node
         if isinstance(bare, Regex):
-            try:
-                re.compile(bare.text)
+            if wrong := pattern_error(bare.text):
+                warnings.append(Warn("RegexSyntaxError", bare.text, wrong))
+            else:
                 rules.append(RegexRule(bare.field, bare.text, isinstance(node, Not)))
-            except re.error as e:
-                warnings.append(Warn("RegexSyntaxError", bare.text, str(e)))
         else:
             warnings += [Warn("NestedRegexIgnored", x.text) for x in _regexes(bare)]
     return rules, warnings

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import metadata_value
+from ..shared import few
 
 BOM = b"\xef\xbb\xbf"
 MOST_ENTRIES, MOST_BYTES = 0xFFFF, 0xFFFFFFFF
@@ -44,7 +45,7 @@ def document_columns(metadata_fields: list[str]) -> list[Column]:
 
 def with_string_tags(documents: DataFrame, document_tag: DataFrame, tag: DataFrame, metadata_fields: list[str] = ()) -> DataFrame:
     """Export rows with a column ``tags``: the names, joined by commas in name order."""
-    names = F.broadcast(tag.select(F.col("id").alias("tag_id"), "name"))
+    names = few(tag.select(F.col("id").alias("tag_id"), "name"))
     tags = document_tag.join(names, "tag_id").groupBy(F.col("document_id").alias("__id")).agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("tags"))
     joined = documents.join(tags, documents["id"] == tags["__id"], "left")
     return joined.select(*document_columns(list(metadata_fields)), F.coalesce("tags", F.lit("")).alias("tags"))

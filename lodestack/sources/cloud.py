@@ -29,6 +29,10 @@ def n_lists(total: int, per_list: int) -> int:
     return max(1, math.ceil(total / per_list))
 
 
+def list_count(total: Column, per_list: int) -> Column:
+    return F.greatest(F.lit(1).cast("long"), F.ceil(total / per_list))
+
+
 def remaining_lists(total: int, per_list: int, n_fetched: int) -> range:
     """Numbers of the lists still to fetch after a restart."""
     return range(n_fetched, n_lists(total, per_list))

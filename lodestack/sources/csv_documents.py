@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import pack
 from ..operators.mutate import next_numbers, tag_color
+from ..operators.sorting import positioned
+from ..shared import few, settled
 
 MOST_METADATA = 100
 #: Header names, lower-cased, that aren't metadata; the first there is of the text names gives the text.
@@ -84,18 +86,35 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
 
 
 def read_csv_leniently(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(path, header, row, whole) by CsvScanner, one task per file: for files whose quoting Spark's reader doesn't take."""
+    """(path, row_number, header, row, whole) by CsvScanner, one task per file: for files whose quoting Spark's reader doesn't take.
+
+    Bytes that aren't valid in the encoding are replaced.  ``row_number`` is the row's place in its file.
+    """
 
     def run(batches):
         import pandas as pd
 
         for batch in batches:
             for name, data in zip(batch.path, batch.content, strict=True):
-                rows, whole = scan_csv(bytes(data).decode(encoding, "replace").removeprefix("﻿"))
+                rows, whole = scan_csv(bytes(data).decode(encoding, "replace").removeprefix("\ufeff"))
                 header = rows[0] if rows else []
-                yield pd.DataFrame({"path": name, "header": [header] * (len(rows) - 1), "row": rows[1:], "whole": whole}, columns=["path", "header", "row", "whole"])
+                yield pd.DataFrame({"path": name, "row_number": range(1, len(rows)), "header": [header] * (len(rows) - 1), "row": rows[1:], "whole": whole}, columns=["path", "row_number", "header", "row", "whole"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row_number long, header array<string>, row array<string>, whole boolean")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, header array<string>, row array<string>, whole boolean")
+def named_rows(rows: DataFrame) -> DataFrame:
+    """Rows of read_csv_leniently of files with one header as columns by its names, with ``__order``, their place."""
+    header = rows.select("header").first()
+    names = list(dict.fromkeys(header.header)) if header else []
+    at = {n: header.header.index(n) for n in names}
+    return rows.select(F.struct("path", "row_number").alias("__order"), *[F.coalesce(F.get("row", F.lit(at[n])), F.lit("")).alias(n or "_c") for n in names])
+
+
+def import_errors(rows: DataFrame, document_set_id: int) -> DataFrame:
+    """An error row for each file that isn't whole CSV: it ends inside quotes."""
+    bad = rows.filter("not whole").select("path").distinct()
+    return bad.select(F.lit(document_set_id).cast("long").alias("document_set_id"), F.col("path").alias("text_url"), F.lit("CSV file ends inside a quoted value").alias("message"))
 
 
 def to_documents(rows: DataFrame) -> DataFrame:
@@ -107,6 +126,8 @@ def to_documents(rows: DataFrame) -> DataFrame:
     by_name: dict[str, str] = {}
     metadata: dict[str, str] = {}
     for c in rows.columns:
+        if c == "__order":
+            continue
         if c.lower() in NAMES:
             by_name.setdefault(c.lower(), c)
         elif c and not c.startswith("_c"):
@@ -114,7 +135,8 @@ def to_documents(rows: DataFrame) -> DataFrame:
     value = lambda name: F.coalesce(F.col(f"`{by_name[name]}`"), F.lit("")) if name in by_name else F.lit("")
     text = next((value(n) for n in TEXT_NAMES if n in by_name), F.lit(""))
     fields = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in list(metadata)[:MOST_METADATA]]
-    return rows.select(value("id").alias("supplied_id"), value("url").alias("url"), value("title").alias("title"), text.alias("text"), (F.to_json(F.struct(*fields)) if fields else F.lit("{}")).alias("metadata_json"), tag_names(value("tags")).alias("tags"))
+    place = [F.col("__order")] if "__order" in rows.columns else []
+    return rows.select(*place, value("id").alias("supplied_id"), value("url").alias("url"), value("title").alias("title"), text.alias("text"), (F.to_json(F.struct(*fields)) if fields else F.lit("{}")).alias("metadata_json"), tag_names(value("tags")).alias("tags"))
 
 
 def tag_names(tags: Column) -> Column:
@@ -125,21 +147,22 @@ def tag_names(tags: Column) -> Column:
 def import_documents(rows: DataFrame, existing: DataFrame, tag: DataFrame, document_set_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """New documents with ids after the set's last, new tags, and document-tag rows.
 
-    Rows whose supplied id is there already are skipped, so an import can be run again.
+    Rows get ids in the order of ``__order``, their place in the file, if they have one.  Rows whose supplied id is there
+    already are skipped, so an import can be run again.
     """
     known = existing.filter(F.col("document_set_id") == document_set_id).select("supplied_id").distinct()
     fresh = rows.filter("supplied_id = ''").unionByName(rows.filter("supplied_id <> ''").join(known, "supplied_id", "left_anti").select(*rows.columns))
-    documents = next_numbers(fresh, existing, document_set_id, [F.col("title"), F.col("supplied_id"), F.col("text")]).withColumn("document_set_id", F.lit(document_set_id).cast("long"))
-    names = documents.select("id", F.explode("tags").alias("name")).withColumn("name", F.substring("name", 1, 100)).distinct()
-    new = sorted(r.name for r in names.select("name").distinct().join(tag, "name", "left_anti").collect())  # a set's tags
+    order = [F.col(c) for c in (["__order"] if "__order" in rows.columns else ["title", "supplied_id", "text"])]
+    documents = next_numbers(fresh, existing, document_set_id, order).withColumn("document_set_id", F.lit(document_set_id).cast("long")).drop("__order")
+    names = settled(documents.select("id", F.explode("tags").alias("name")).withColumn("name", F.substring("name", 1, 100)).distinct(), "tag-names")
     top = tag.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    spark = rows.sparkSession
-    tags = tag.select("id", "name", "color").unionByName(spark.createDataFrame([(top + 1 + n, name, tag_color(name)) for n, name in enumerate(new)], "id long, name string, color string"))
-    links = names.join(F.broadcast(tags.select(F.col("id").alias("tag_id"), "name")), "name").select(F.col("id").alias("document_id"), "tag_id")
+    new = positioned(names.select("name").distinct().join(tag, "name", "left_anti"), [F.col("name")])
+    color = F.udf(lambda name: tag_color(name), "string")  # one call a new tag
+    fresh_tags = new.select((F.col("pos") + top + 1).cast("long").alias("id"), "name", color("name").alias("color"))
+    tags = settled(tag.select(F.col("id").cast("long").alias("id"), "name", "color").unionByName(fresh_tags), "tags")
+    links = names.join(few(tags.select(F.col("id").alias("tag_id"), "name")), "name").select(F.col("id").alias("document_id"), "tag_id")
     return documents.drop("tags"), tags, links
 
 
 def numbered(rows: DataFrame, document_set_id: int, first: int, order: list[Column]) -> DataFrame:
-    from ..operators.sorting import positioned
-
     return positioned(rows, order, "__n").withColumn("id", pack(F.lit(document_set_id), F.col("__n") + first)).drop("__n")

@@ -35,6 +35,15 @@ def detect(filename: str, data: bytes, given: str = "application/octet-stream")
     return by_name or by_start or given
 
 
+def detected(filename: Column, content: Column, given: Column) -> Column:
+    """``detect`` as a column; only the first bytes go to Python."""
+
+    def types(names: pd.Series, starts: pd.Series, givens: pd.Series) -> pd.Series:
+        return pd.Series([detect(n or "", bytes(b or b""), g) for n, b, g in zip(names, starts, givens, strict=True)], dtype=object)
+
+    return F.pandas_udf(types, "string")(filename, F.substring(content, 1, 32), given)
+
+
 def html_text(page: str) -> str:
     page = re.sub(r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->", " ", page)
     page = re.sub(r"(?i)<(br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>", "\n", page)
@@ -127,8 +136,10 @@ def process(files: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
 
 
 def page_number(metadata_json: Column) -> Column:
-    """``pageNumber`` of file metadata if it is a JSON number."""
-    return F.try_variant_get(F.try_parse_json(_plain(metadata_json)), "$.pageNumber", "int")
+    """``pageNumber`` of file metadata if it is a JSON number, rounded half away from zero; null for texts, booleans and what isn't an int."""
+    value = F.try_variant_get(F.try_parse_json(_plain(metadata_json)), "$.pageNumber", "variant")
+    is_number = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+    return F.when(is_number, F.round(F.try_variant_get(value, "$", "double")).try_cast("int"))
 
 
 def is_from_ocr(metadata_json: Column) -> Column:

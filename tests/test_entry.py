@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from lodestack import catalog_queries
+from lodestack import catalog
 
 from .conftest import SF
 
@@ -24,13 +24,13 @@ def value(x):
     return f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-@pytest.mark.parametrize("name", list(catalog_queries.SQL))
+@pytest.mark.parametrize("name", list(catalog.SQL))
 def test_core_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    found = catalog_queries.Q[name](spark, SF)
-    result = con.execute(catalog_queries.SQL[name])
+    found = catalog.Q[name](spark, SF)
+    result = con.execute(catalog.SQL[name])
     columns = sorted(c[0] for c in result.description)
     assert sorted(found.columns) == columns
     order = [[c[0] for c in result.description].index(c) for c in columns]

@@ -2,20 +2,21 @@
 
 import io
 import json
+import re
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestack import catalog_queries, plugins
+from lodestack import catalog, plugins
 from lodestack.functions import ids
-from lodestack.functions.text import clean_metadata, metadata_value, parse_schema, textify, weighted_terms
+from lodestack.functions.text import clean_metadata, metadata_value, parse_schema, textify, textify_bytes, truncated, weighted_terms
 from lodestack.operators import cluster, components, facets, lookups, mutate, selection, sorting, vectors
 from lodestack.operators.index import build_postings
 from lodestack.operators.selection import Corpus, SelectionCache, SelectionRequest, filtered, select
 from lodestack.sinks import export
-from lodestack.sources import cloud, csv_documents, files
+from lodestack.sources import blobs, cloud, csv_documents, files, steps
 from lodestack.streaming import ingest
 
 
@@ -266,6 +267,11 @@ def grouped(n_groups=3, each=12, seed=2):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def sparse(x):
+    i, j = np.nonzero(x)
+    return cluster.Rows(np.arange(len(x)), i, j, x[i, j], x.shape[1])
+
+
 def test_vectors(spark):
     docs = spark.createDataFrame([(i, ["alpha", "beta", *(["gamma"] if i < 4 else ["delta"]), f"only{i}", "all"]) for i in range(8)], "id long, w array<string>")
     lexed = docs.select("id", F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(1.0).alias("weight"))).alias("terms"))
@@ -291,7 +297,7 @@ def test_similar_pairs_and_components(spark):
     assert {r.component for r in components.connected_components(spark.range(42), chain).collect()} == {0, 41}
     tree = {(r.document_id, r.level): r.component for r in cluster.threshold_tree(v, spark.range(len(x) + 1), (0.8, 0.1)).collect()}
     assert tree[len(x), 0] == 0 and (len(x), 1) not in tree and {tree[i, 1] for i in range(len(x))} == {0, 1, 2}
-    assert (cluster.components_in_memory(x, 0.5) == np.arange(len(x)) % 3).all()
+    assert (cluster.components_in_memory(sparse(x), 0.5) == np.arange(len(x)) % 3).all()
 
 
 def test_no_similar_pair_is_left_out(spark, monkeypatch):
@@ -319,7 +325,7 @@ def test_vector_queries_cover_the_documents(spark, tmp_path):
     words = [f"word{chr(97 + i)}" for i in range(12)]
     texts = [" ".join(words[(i * k + k) % 12] for k in range(1, 6)) for i in range(24)] + [""]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    run = lambda name: catalog_queries.Q[name](spark, str(tmp_path)).collect()
+    run = lambda name: catalog.Q[name](spark, str(tmp_path)).collect()
     x = {}
     for r in run("document_vectors"):
         x.setdefault(r.id, {})[r.term] = r.weight
@@ -336,7 +342,7 @@ def test_vector_queries_cover_the_documents(spark, tmp_path):
 def test_clustering(spark):
     x = grouped()
     v = long_vectors(spark, x)
-    labels = cluster.grow_k_means(x, 5, np.random.default_rng(1))
+    labels = cluster.grow_k_means(sparse(x), 5)
     assert all(len(set(labels[i::3])) == 1 for i in range(3)) and len(set(labels)) == 3
     found = {r.id: r.cluster for r in cluster.k_means(v, 3).collect()}
     assert len(found) == len(x)
@@ -359,3 +365,145 @@ def test_clustering(spark):
     assert set(labels) == set(of) and labels[0].startswith("MOST: ") or "ALL: " in labels[0] or "SOME: " in labels[0]
     assert cluster.tree_levels(node, 0, 1).count() == 1 + sum(n.parent_id == 0 for n in nodes.values())
     assert cluster.ordered_children(node, bridge).count() == len(nodes)
+
+
+def test_a_node_is_split_alike_in_a_task_and_by_jobs(spark, monkeypatch):
+    """The tree is the same whether its nodes fit one task or not, and draws are Spark's hashes."""
+    ids_ = np.array([0, 1, -5, 2**40, 7])
+    want = [r.h for r in spark.createDataFrame([(int(i),) for i in ids_], "id long").select(F.shiftrightunsigned(F.xxhash64(F.col("id") * 31 + 3), 12).alias("h")).collect()]
+    assert np.allclose(cluster._draws(ids_, 3), (np.array(want, float) + 0.5) / 2.0**52)
+    rng = np.random.default_rng(5)
+    x = np.abs(rng.normal(0, 0.3, (36, 8)))
+    for i in range(len(x)):
+        x[i, [0, 0, 0, 2, 4, 6][i % 6]] += 1 + (i % 3) / 4
+    x = x * (rng.random(x.shape) < 0.7) + 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = long_vectors(spark, x)
+    assert sorted((r.id, r.cluster) for r in cluster.grow_k_means_jobs(v, 4).collect()) == list(enumerate(cluster.grow_k_means(sparse(x), 4).tolist()))
+    for least in (0.5, 0.9):
+        got = sorted((r.id, r.cluster) for r in cluster.split_node_jobs(v, least_cosine=least).collect())
+        alone = cluster.split_node(sparse(x), least_cosine=least).tolist()
+        names = dict(zip([c for _, c in got], alone, strict=True))  # the same parts
+        assert [names[c] for _, c in got] == alone and len(set(names.values())) == len(names)
+
+
+def test_collector_of_converter_parts():
+    head = lambda i, **h: steps.named_part(f"{i}.json", json.dumps(h).encode())
+    part = steps.named_part
+    good = [head(0, filename="a", contentType="text/plain"), part("0.blob", b"x"), part("0.txt", b"hi"), part("progress", b"0.5"), head(1, filename="b", contentType="application/pdf", wantOcr=False), part("1.blob", b"y"), part("1-thumbnail.png", b"t"), part("done")]
+    c = steps.collected(good)
+    assert [x.blob for x in c.children] == [b"x", b"y"] and c.children[0].text == "hi" and c.error is None and c.progress == 1.0
+    assert [x.processed() for x in c.children] == [False, True]
+    again = steps.collected([*good[:6], *good])  # a second run from its start
+    assert [x.blob for x in again.children] == [b"x", b"y"] and again.error is None
+    late = steps.collected([*good, part("error", b"late"), head(2)])
+    assert late.error is None and len(late.children) == 2
+    assert steps.collected([head(0), part("done")]).error.startswith("logic error in converter: tried to write child without blob")
+    assert steps.collected([part("0.blob", b"x")]).error.startswith("logic error")
+    gap = steps.collected([head(0), part("0.blob"), head(2)])
+    assert gap.error and gap.children == []
+    assert steps.collected([head(0), part("0.inherit-blob"), head(1), part("1.inherit-blob")]).error.startswith("logic error")
+    failed = steps.collected([head(0), part("0.blob", b"x"), head(1), part("error", b"broken")])
+    assert failed.error == "broken" and len(failed.children) == 1
+    assert steps.collected(good[:3]).error.startswith("logic error") and steps.named_part("x.blob") is None
+    kids = steps.as_children(steps.collected([head(0, filename="p", metadata={"k": 1}), part("0.inherit-blob"), part("done")]), {"content": b"whole", "metadata_json": "{}"})
+    assert kids[0]["content"] == b"whole" and json.loads(kids[0]["metadata_json"]) == {"k": 1}
+
+
+def test_routes_and_task_payload():
+    assert [steps.route("application/pdf"), steps.route("application/pdf", want_ocr=True), steps.route("text/x-log"), steps.route("image/png"), steps.route("image/png", known=["image/png"]), steps.route("text/plain", canceled=True)] == ["Pdf", "PdfOcr", "Text", "Unhandled", "image/png", "Canceled"]
+    payload = steps.task_payload({"id": 3, "filename": "a.pdf", "content_type": "application/pdf", "metadata_json": '{"x": "y"}', "n_bytes": 5, "sha1": "00"}, "http://host/3")
+    assert payload["blob"] == {"url": "http://host/3/blob", "nBytes": 5, "sha1": "00"} and payload["wantOcr"] and payload["metadata"] == {"x": "y"}
+
+
+def test_blobs(spark, tmp_path):
+    path = blobs.blob_path("file:things:a/b", {"file": str(tmp_path)})
+    assert path == f"{tmp_path}/things/a/b"
+    data = bytes(range(256)) * 9000
+    assert blobs.create_blob(spark, path, b"old") == 3 and blobs.create_blob(spark, path, data) == len(data)
+    assert b"".join(blobs.stream_blob(spark, path)) == data and blobs.get_bytes(spark, path, 5) == data[:5]
+    row = blobs.read_blobs(spark, path).select("length", blobs.first_bytes(F.col("content"), 4).alias("first")).first()
+    assert row.length == len(data) and bytes(row.first) == data[:4]
+    with blobs.blob_in_file(spark, path) as name, open(name, "rb") as f:
+        assert f.read() == data
+    blobs.delete_blobs(spark, [path, path])
+    with pytest.raises(Exception):
+        blobs.get_bytes(spark, path, 1)
+    for bad in ("ftp:a:b", "file::b", "file:a:../b"):
+        with pytest.raises(ValueError):
+            blobs.blob_path(bad, {"file": "/"})
+    assert blobs.blob_url("https://x/y") and blobs.blob_url("/x") is None
+
+
+def test_truncated_by_utf16_units(spark):
+    texts = ["abc", "🎉" * 10, "ab🎉cd", "a🎉🎉🎉b", "é" * 6, "", None, "🎉a" * 5]
+
+    def want(t, n):
+        return None if t is None else t.encode("utf-16-le")[: 2 * n].decode("utf-16-le", "ignore")
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3, 4, 5, 6, 9):
+        assert [r.x for r in df.select(truncated(F.col("t"), n).alias("x")).collect()] == [want(t, n) for t in texts]
+
+
+def test_bytes_are_decoded_with_replacement(spark):
+    data = [b"plain", "é🎉".encode(), b"a\xffb\xc3", b"\xe9t\xe9", None]
+    df = spark.createDataFrame([(d,) for d in data], "d binary")
+    for charset in ("utf-8", "latin-1", "cp1252"):
+        got = [r.x for r in df.select(textify_bytes(F.col("d"), charset).alias("x")).collect()]
+        assert got == [None if d is None else re.sub("[\x7f-\x9f]", " ", d.decode(charset, "replace")) for d in data]
+
+
+def test_csv_keeps_the_files_order_and_names_broken_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('title,text,tags\nz,"one, ""two""","x,y"\nb,t\n\na,last,y\n', "utf-8")
+    rows = csv_documents.read_csv_leniently(spark, str(tmp_path))
+    assert csv_documents.import_errors(rows, 3).count() == 0
+    existing = spark.createDataFrame([], "id long, document_set_id long, supplied_id string")
+    tag = spark.createDataFrame([(4, "y", "ffffff")], "id long, name string, color string")
+    new, tags, links = csv_documents.import_documents(csv_documents.to_documents(csv_documents.named_rows(rows)), existing, tag, 3)
+    got = {r.id: (r.title, r.text) for r in new.collect()}
+    assert got == {(3 << 32): ("z", 'one, "two"'), (3 << 32) + 1: ("b", "t"), (3 << 32) + 2: ("a", "last")}
+    assert {(r.id, r.name) for r in tags.collect()} == {(4, "y"), (5, "x")} and sorted(tuple(r) for r in links.collect()) == [(3 << 32, 4), (3 << 32, 5), ((3 << 32) + 2, 4)]
+    (tmp_path / "a.csv").write_text('title,text\nz,"open', "utf-8")
+    assert csv_documents.import_errors(csv_documents.read_csv_leniently(spark, str(tmp_path)), 3).first().text_url.endswith("a.csv")
+
+
+def test_dictionary_and_expansions(spark, corpus):
+    from lodestack.operators.index import document_dictionary, unindexed_fields
+    from lodestack.plans.compile import IndexSearch
+    from lodestack.plans.parser import parse
+
+    words_ = document_dictionary(corpus.documents, ["year"], "unicode")
+    assert {tuple(r) for r in words_.filter("field = 'text'").collect()} >= {("text", "fox", 2), ("text", "555", 2), ("text", "none", 1)}
+    for q in ("text:foxs~1", "one fo*", "fo*", "foxx~"):
+        with_, without = (sorted(r.id for r in IndexSearch(corpus.postings, corpus.documents.select("id"), most_expansions=most, dictionary=d).search(parse(q)).collect()) for most, d in ((1000, words_), (None, None)))
+        assert with_ == without and with_
+    assert unindexed_fields([str(i) for i in range(103)]) == ["100", "101", "102"]
+
+
+def test_caches(spark, corpus):
+    clock = [0.0]
+    cache = SelectionCache(10.0, lambda: clock[0])
+    first = cache.find_or_create(corpus, SelectionRequest(q="fox"))
+    assert cache.find(SelectionRequest(q="fox").key()) is first and cache.find("nothing") is None
+    clock[0] = 11.0
+    assert cache.find(SelectionRequest(q="fox").key()) is None and cache.find_or_create(corpus, SelectionRequest(q="fox")) is not first
+    sorts = selection.SortCache()
+    whole = Corpus(corpus.documents.withColumn("document_set_id", F.lit(0).cast("long")), None)
+    kept = sorts.positions(whole, 0, "year")
+    assert sorts.positions(whole, 0, "year") is kept and [r.id for r in kept.orderBy("pos").collect()] == [4, 3, 1, 2]
+    sorts.changed(0)
+    assert sorts.positions(whole, 0, "year") is not kept
+
+
+def test_edits(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z")], "id long, title string, url string")
+    changes = spark.createDataFrame([(1, None, "new"), (3, "t", None)], "id long, title string, url string")
+    assert sorted((tuple(r) for r in mutate.edit(docs, changes).collect()), key=str) == [(1, "a", "new"), (2, "b", "y"), (3, "t", "z")]
+    assert sorted((tuple(r) for r in mutate.edit(docs, changes, write_nulls=True).collect()), key=str) == [(1, None, "new"), (2, "b", "y"), (3, "t", None)]
+
+
+def test_positions_survive_a_second_reading(spark):
+    df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("id")).repartition(7)
+    placed = sorting.positioned(df, [F.col("id")])
+    assert placed.filter("id <> pos").count() == 0 and placed.count() == 5000
