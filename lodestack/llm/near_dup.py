@@ -280,7 +280,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     single = targets.select("comp", F.col("comp").alias("id"))  # a component's least member; the only one of those without links
     member = single.union(first.select("comp", "id").join(targets.select("comp"), "comp", "left_semi").select("comp", "id")).distinct()
     member = member.join(targets, "comp").select("comp", "id", spread("query_parts").alias("q"), part(F.col("blocks")).alias("b"), F.lit(1).alias("role"))
-    more = asked.union(member).join(mine, "id").groupBy("comp", "q", "b").applyInPandas(_link_blocks(percent), "a long, b long")
+    # blocks are of like sizes: dealt by ranges, tasks have like numbers of them
+    blocks = asked.union(member).join(mine, "id").repartitionByRange("comp", "q", "b")
+    more = blocks.groupBy("comp", "q", "b").applyInPandas(_link_blocks(percent), "a long, b long")
     more = settled(more, "more-links")
     if more.limit(1).count():
         first = edge_components(links.union(more)).withColumnRenamed("component", "comp")
