@@ -76,20 +76,24 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     """
     width = 2 * band + 1
     low = diagonal - band  # cell (i, d): i template words read, text read up to i + low + d
-    score, back = np.full((len(template) + 1, width), -1e9), np.zeros((len(template) + 1, width), np.int8)
+    lost = -1e9
+    score, back = np.full((len(template) + 1, width), lost), np.zeros((len(template) + 1, width), np.int8)
     score[0] = 0
+    steps, place = np.arange(width), np.arange(width) + low
     for i in range(1, len(template) + 1):
-        for d in range(width):
-            j = i + low + d
-            if j < 0 or j > len(text):
-                continue
-            options = [(score[i - 1, d + 1] - 1, 2)] if d + 1 < width else []
-            if j >= 1 and template[i - 1] == text[j - 1]:
-                options.append((score[i - 1, d] + 2, 3))
-            if d >= 1 and j >= 1:
-                options.append((score[i, d - 1] - (1 if i < len(template) else 0), 1))
-            if options:
-                score[i, d], back[i, d] = max(options)
+        j = place + i
+        inside = (j >= 0) & (j <= len(text))
+        same = inside & (j >= 1)
+        same[same] = text[j[same] - 1] == template[i - 1]
+        without = np.append(score[i - 1, 1:] - 1, lost)
+        here = np.where(same & (score[i - 1] + 2 >= without), score[i - 1] + 2, without)
+        kind = np.where(same & (score[i - 1] + 2 >= without), 3, 2)
+        here[~inside | (here < lost / 2)] = lost
+        # words put in: each costs 1, those behind the template's last word nothing
+        cost = steps if i < len(template) else 0
+        run = np.maximum.accumulate(here + cost) - cost
+        score[i] = np.where(inside, run, lost)
+        back[i] = np.where(inside & (run > lost / 2), np.where(run > here, 1, kind), 0)
     best = np.flatnonzero(score[-1] == score[-1].max())
     i, d = len(template), int(best[np.argmin(np.abs(best - band))])  # of equal ones that nearest the diagonal
     matched, first, last, gaps = 0, -1, -1, 0
@@ -114,16 +118,18 @@ def scan(words: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
 
 
 def _resolve(words: np.ndarray, hits: np.ndarray, grams: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    diagonals: dict[int, list[int]] = {}
+    diagonals: dict[int, list[tuple[int, int]]] = {}
     for p in hits.tolist():
         low, high = np.searchsorted(index.keys, grams[p], "left"), np.searchsorted(index.keys, grams[p], "right")
         for t, place in zip(index.template[low:high].tolist(), index.place[low:high].tolist(), strict=True):
-            diagonals.setdefault(t, []).append(p - place)
+            diagonals.setdefault(t, []).append((p - place, p))
     found = []
     for t, places in diagonals.items():
-        template, last = index.words[t], None
-        for diagonal in sorted(set(places)):
-            if last is not None and diagonal - last <= BAND // 2:
+        template, last, spans = index.words[t], None, []
+        near = min(BAND // 2, len(template) - 1)
+        for diagonal, p in sorted(set(places)):
+            # a neighbour of a diagonal tried already, unless it is that of another copy
+            if last is not None and diagonal - last <= near and (not spans or any(a <= p <= b for a, b in spans)):
                 continue
             last = diagonal
             start = max(0, diagonal - BAND)
@@ -131,6 +137,7 @@ def _resolve(words: np.ndarray, hits: np.ndarray, grams: np.ndarray, index: Inde
             matched, a, b, gaps = align(template, part, diagonal - start)
             if matched >= LEAST_COVERAGE * len(template):
                 found.append((matched - gaps, matched / len(template), -t, t, matched, a + start, b + start))
+                spans.append((a + start, b + start))
     kept: list[tuple] = []
     for x in sorted(found, reverse=True):
         if all(x[6] < y[5] or y[6] < x[5] for y in kept):
