@@ -133,7 +133,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Classifier:
     """Fit on at most ``per_class`` labelled texts of each class that are not held out: those of least hashed id.
 
-    Labels that contradict each other count as 1 if any is; null labels and labels without a text are left out.
+    Labels that contradict each other count as 1 if any is; null labels and labels without a text are left out.  Of rows that
+    share an id the least text is learned.  The sample's texts are held by the driver.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(label_col).alias("label"))
     known = known.withColumn("h", F.xxhash64("__id"))
@@ -143,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return fit([], [])
     spark = docs.sparkSession
     sample = F.broadcast(spark.createDataFrame([(r["__id"], int(r.label == 1)) for r in chosen], "__id long, label int"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sample, F.col("id") == F.col("__id")).select("id", "text", "label")
-    rows = sorted(((r.id, r.text or "", r.label) for r in rows.dropDuplicates(["id"]).toLocalIterator()), key=lambda r: r[0])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(sample, F.col("id") == F.col("__id")).groupBy("id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("label").alias("label"))
+    rows = sorted(((r.id, r.text, r.label) for r in rows.toLocalIterator()), key=lambda r: r[0])
     shares = {r.toxic: r.n for r in known.groupBy((F.col("label") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     return fit([r[1] for r in rows], [r[2] for r in rows], shares.get(True, 0) / shares.get(False, 1) if len(shares) == 2 else 1.0)
 
