@@ -3,18 +3,19 @@
 import base64
 import gzip
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestack.llm import chat, mixing, near_dup, quality, warc
-from lodestack.llm.queries import op2_warc_capture_index, op5_chat_formatting
+from lodestack.llm import chat, mixing, near_dup, quality, sentencepiece, warc
+from lodestack.llm.queries import op2_warc_capture_index, op5_chat_formatting, piece_model
 
 from ..conftest import SF
 from .cases import awkward
+from .test_text_operators import brute_components, brute_targets, plain_clean, plain_quality, plain_terms, words
 
 
 def brute_pages(rows, least=0):
@@ -168,6 +169,37 @@ def test_pipeline_stages(spark):
     assert five.count() == four.count() and five.filter("n_pieces <> size(ids)").count() == 0
 
 
+def test_pipeline_end_to_end(spark):
+    """The last stage's rows, against plain versions of all stages but the mix, whose draws are free, and its balance."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()]
+    texts = {i: r.text for i, r in docs.items()}
+    scores, kept = plain_quality(texts, labels), {}
+    for i, t in texts.items():
+        w = words(t)
+        grams = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        repeated = {j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(k, k + 3)}
+        if len(w) >= 50 and 100 * len(repeated) <= 50 * len(w) and scores[i] >= quality.LEAST_SCORE:
+            kept[i] = t
+    groups = brute_components(kept, 5)
+    kept = {i: t for i, t in kept.items() if groups[i][1] == i}
+    clean = {i: plain_clean(t, plain_terms(kept)) for i, t in kept.items()}
+    model = sentencepiece.Model.load(piece_model())
+    found = Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        assert len(r.ids) == r.n_pieces and model.decode(r.ids) == clean[r.doc_id]
+        found[r.doc_id] += 1
+    assert max(found.values()) <= 3
+    sizes, taken, longest = Counter(), Counter(), {}
+    for i, t in clean.items():
+        n, source = len(words(t)), docs[i].source
+        sizes[source] += n
+        taken[source] += n * found[i]
+        longest[source] = max(n, longest.get(source, 0))
+    for source, target in brute_targets(dict(sizes)).items():
+        assert abs(taken[source] - target) <= max(0.02 * target, longest[source] / 2)
+
+
 def test_near_dedup_stage_of_shared_ids(spark):
     """One row of each group stays, and a unique text stays although another row of its id goes."""
     a, u = " ".join(f"a{i}" for i in range(60)), " ".join(f"u{i}" for i in range(60))

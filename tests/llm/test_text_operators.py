@@ -126,6 +126,42 @@ def test_quality_scores_against_brute_force(spark):
     assert len(set(grams[0])) > 10  # lower-cased tokens and pairs
 
 
+def plain_grams(text):
+    """Hashed tokens and pairs of tokens, by another library's hash and regular expressions."""
+    import regex
+    import xxhash
+
+    tokens = regex.findall(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]+", (text or "").lower())
+    one = lambda t, seed=42: xxhash.xxh64(t.encode(), seed=seed).intdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    return [signed(one(t)) % quality.BUCKETS for t in tokens] + [signed(one(b, one(a))) % quality.BUCKETS for a, b in zip(tokens, tokens[1:], strict=False)]
+
+
+def plain_quality(texts, labels):
+    """Of {id: text} and [(id, quality)]: {id: score} by the definition."""
+    marks = {}
+    for i, q in labels:
+        marks.setdefault(i, []).append(q)
+    raw, target = Counter(), Counter()
+    for i, t in texts.items():
+        grams = plain_grams(t)
+        raw.update(grams)
+        if marks.get(i) and min(marks[i]) == 1:
+            target.update(grams)
+    n = math.log((sum(raw.values()) + quality.BUCKETS) / (sum(target.values()) + quality.BUCKETS))
+    ratio = {b: n + math.log((target[b] + 1) / (raw[b] + 1)) for b in raw}
+    return {i: sum(ratio[b] for b in plain_grams(t)) / max(1, len(plain_grams(t))) for i, t in texts.items()}
+
+
+def test_quality_scores_of_test_documents(spark):
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = plain_quality(texts, [(r.doc_id, r.quality) for r in labels.collect()])
+    found = quality.quality(docs, quality.log_ratios(docs, labels)).select("doc_id", "__quality.*").collect()
+    assert {r.doc_id: round(r.score, 9) for r in found} == {i: pytest.approx(x, abs=1e-8) for i, x in want.items()}
+    assert all(r.kept == (not r.base_failed and want[r.doc_id] >= quality.LEAST_SCORE) for r in found)
+
+
 def test_quality_awkward(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.log_ratios(awkward(spark), labels) == [0.0] * quality.BUCKETS
@@ -168,6 +204,49 @@ def brute_spans(text):
     return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
 
 
+def plain_terms(texts):
+    """{term: "removed" or "general"} by the definition, over {id: text}."""
+    every, near, total = Counter(), Counter(), Counter()
+    for t in texts.values():
+        t = t or ""
+        every.update(re.findall(r"[^\W\d_]+", t.lower()))
+        base = brute_spans(t)
+        marks = [s.split(":") for s in base] + [s.split(":") for s in brute_secrets(t, [])]
+        for kind in {k for k, _, _ in marks}:
+            spans = sorted((int(a), int(b)) for k, a, b in marks if k == kind)
+            for a, b in spans:
+                left, right = t[:a], t[b:]
+                for x, y in sorted(spans, reverse=True):  # the kind's own spans are no words
+                    left = left[:x] + " " * (min(y, a) - x) + left[min(y, a) :] if y <= a else left
+                    right = right[: x - b] + " " * (y - x) + right[y - b :] if x >= b else right
+                words_ = re.findall(r"[^\W\d_]+", left.lower())[-5:] + re.findall(r"[^\W\d_]+", right.lower())[:5]
+                near.update((kind, w) for w in words_)
+                total[kind] += len(words_)
+    n, best = sum(every.values()), {}
+    for (kind, w), k in near.items():
+        if k >= pii.LEAST_SUPPORT:
+            share = math.log2(k * n / (every[w] * total[kind])) / math.log2(n / total[kind])
+            best[w] = max(share, best.get(w, -9))
+    return {w: "removed" if x >= pii.REMOVE_AT else "general" for w, x in best.items() if x >= pii.GENERALISE_AT}
+
+
+def plain_clean(text, terms):
+    """The sanitised text by the definition."""
+    text = text or ""
+    base = brute_spans(text)
+    spans = [(int(a), pii.ORDER.index(k), int(b)) for k, a, b in (s.split(":") for s in base + brute_secrets(text, base))]
+    for m in re.finditer(r"[^\W\d_]+", text):
+        what = terms.get(m[0].lower())
+        if what and all(m.end() <= a or b <= m.start() for a, _, b in spans[: len(base) + len(brute_secrets(text, base))]):
+            spans.append((m.start(), pii.ORDER.index(what), m.end()))
+    out, at = [], 0
+    for a, kind, b in sorted(spans):
+        if a >= at:
+            out += [text[at:a], pii.HOLDERS[pii.ORDER[kind]]]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 TRICKY = [
     "a@b.c%d@e.f, x@y.z.", "@a.b a@b a@b. a@-b.c-", "1.2.3.4.5.6.7.8 256.1.1.1 0255.01.1.1 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 41111111111111111111111",
     "+1 (017) 555-7713 +12 345 +1 234 567 890 123 456 7 ++1 4111 1111 1111 1111", "🎉é me@ex.am 10.0.0.1 日本+49 170 1234567", "a" * 4000 + "@b.co " + "1" * 3000, "x@a.b" * 700, "é@a.b c.d@e.f@g.h", "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" key1234567890abcdefghijk@mail.example.com aaaaaaaaaaaaaaaaaaaaaaa1",
@@ -219,6 +298,17 @@ def test_disclosing_terms_against_brute_force(spark):
     assert "Hotline" not in r.clean and "[PHONE]" in r.clean and "removed:" in r.spans and r.n_phone == 1
 
 
+def test_sanitised_test_documents(spark):
+    """Terms and texts of all test documents against plain versions."""
+    docs = documents(spark)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    terms = plain_terms(texts)
+    table = pii.term_table(docs)
+    assert {r.term: r.what for r in table.collect()} == terms
+    for r in pii.find_personal_data(docs, table).select("doc_id", "__pii.clean").collect():
+        assert r.clean == plain_clean(texts[r.doc_id], terms)
+
+
 def test_personal_data_awkward(spark):
     out = pii.find_personal_data(awkward(spark), pii.disclosing_terms(awkward(spark)))
     assert out.count() == len(AWKWARD) + 4 and pii.disclosing_terms(empty(spark)) == {}
@@ -459,6 +549,57 @@ def test_toxicity_held_out_accuracy(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def plain_buckets(text):
+    """Buckets of a text's n-grams by the definition, number by number."""
+    from lodestack.llm import hashing
+
+    whole = 1 << 64
+
+    def mixed(x):
+        for shift, factor in ((32, 0xD6E8FEB86659FD93), (32, 0xD6E8FEB86659FD93), (32, 1)):
+            x = (x ^ (x >> shift)) * factor % whole
+        return x
+
+    def number(points):
+        return sum((p + 1) * pow(int(hashing.BASE), n, whole) for n, p in enumerate(points)) % whole
+
+    out, words_, word = [], [], ""
+    for c in (text or "").lower() + " ":
+        if c.isalnum():
+            word += c
+        elif word:
+            words_.append(word)
+            word = ""
+    for w in words_:
+        points = [toxicity.EDGE, *map(ord, w), toxicity.EDGE]
+        out += [mixed(number(points[i : i + n])) >> 48 for n in toxicity.SIZES for i in range(len(points) - n + 1)]
+        out.append(mixed(number(points[1:-1]) * 3 % whole) >> 48)
+    return out
+
+
+def test_toxicity_scores_against_plain_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = toxicity.Classifier(rng.normal(0, 2, toxicity.BUCKETS).astype(np.float32), -0.4)
+    texts = ["Hello, wörld! a bc 12x", "", "one", "¡Qué! 日本語 — ok", "x" * 50, "a.b-c_d"]
+    buckets, bounds = toxicity.gram_buckets(texts)
+    for i, t in enumerate(texts):
+        want = plain_buckets(t)
+        assert sorted(buckets[bounds[i] : bounds[i + 1]].tolist()) == sorted(want)
+        mean = sum(float(model.weight[b]) for b in want) / max(1, len(want))
+        assert model.scores(texts)[i] == pytest.approx(1 / (1 + math.exp(-(mean + model.bias))), rel=1e-6)
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """An id with several texts is learned by the least of them, whatever the order of the rows."""
+    rows_ = [(i, f"good plain words {i}" if i % 2 else f"awful nasty words {i}") for i in range(80)] + [(4, "zzz other"), (6, None), (6, "awful nasty words 6")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(80)], "doc_id long, toxic int")
+    one, two = (toxicity.train(docs.orderBy(order), labels) for order in (F.col("text").asc(), F.col("text").desc()))
+    assert (one.weight == two.weight).all() and one.bias == two.bias
+
+
 def test_toxicity_never_learns_from_held_out(spark):
     import zlib
 
@@ -486,6 +627,73 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(awkward(spark)).count() == len(AWKWARD) + 4 and license_scan.scan_licenses(empty(spark)).count() == 0
 
 
+def plain_align(template, text, diagonal, band):
+    """The best score of the band by plain recursion."""
+    from functools import lru_cache
+
+    low, n = diagonal - band, len(text)
+
+    @lru_cache(None)
+    def score(i, d):
+        j = i + low + d
+        if i == 0:
+            return 0
+        if d < 0 or d > 2 * band or j < 0 or j > n:
+            return -1e9
+        out = score(i - 1, d + 1) - 1 if d < 2 * band else -1e9
+        if j >= 1 and template[i - 1] == text[j - 1]:
+            out = max(out, score(i - 1, d) + 2)
+        if d >= 1 and j >= 1:
+            out = max(out, score(i, d - 1) - (i < len(template)))
+        return out
+
+    return max(score(len(template), d) for d in range(2 * band + 1))
+
+
+def test_alignment_against_plain_recursion():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(150):
+        template = [rng.randrange(6) for _ in range(rng.randint(1, 12))]
+        text = [rng.randrange(6) for _ in range(rng.randint(0, 5))] + [x if rng.random() < 0.8 else rng.randrange(6) for x in template if rng.random() < 0.9] + [rng.randrange(6) for _ in range(rng.randint(0, 5))]
+        diagonal, band = rng.randint(-2, 6), rng.randint(1, 5)
+        matched, first, last, gaps = license_scan.align(np.array(template), np.array(text, int), diagonal, band)
+        want = plain_align(tuple(template), tuple(text), diagonal, band)
+        assert matched <= len(template) and (not matched or 0 <= first <= last < len(text))
+        assert 2 * matched - gaps >= want  # left-out words before the first match and put-in ones count as the score has them
+
+
+def test_winnowing_against_plain_windows():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(100):
+        grams = np.array([rng.randrange(9) for _ in range(rng.randint(0, 20))])
+        w = license_scan.WINDOW
+        want = set()
+        for i in range(len(grams) - w + 1) if len(grams) > w else ([0] if len(grams) else []):
+            window = grams[i : i + w] if len(grams) > w else grams
+            want.add(i + max(k for k in range(len(window)) if window[k] == window.min()))
+        assert set(license_scan._winnowed(grams).tolist()) == want
+
+
+def test_whole_licences_and_copies(spark):
+    from lodestack.llm import license_templates as texts
+
+    whole = {name: parts[0] for name, parts in texts.TEMPLATES.items() if name.endswith("-whole")}
+    edited = {name: " ".join("EXAMPLE" if n % 31 == 30 else w for n, w in enumerate(t.split())) for name, t in whole.items()}
+    rows_ = [*whole.values(), *edited.values(), "SPDX-License-Identifier: MIT\n" * 5, "x " * 40 + texts.MIT_OPENING, "no licence " * 50]
+    found = [r.matches for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(rows_)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert [[m.license for m in f] for f in found[: 2 * len(whole)]] == [[n] for n in whole] * 2
+    assert all(f[0].coverage == 1 for f in found[: len(whole)]) and all(license_scan.LEAST_COVERAGE <= f[0].coverage < 1 for f in found[len(whole) : 2 * len(whole)])
+    assert [m.license for m in found[-3]] == ["MIT"] * 5 and [m.license for m in found[-2]] == ["MIT-text"] and found[-1] == []
+
+
 def test_license_lines_of_test_documents(spark):
     docs = documents(spark)
     line = re.compile(r"^(?:Released under the MIT License\.|Licensed under CC BY-NC 4\.0\.|Licensed under the Apache License, Version 2\.0\.|This work is licensed under the GNU General Public License, version 3\.)$", re.M)
