@@ -208,6 +208,11 @@ def parse_schema(text: str) -> list[dict]:
     return out
 
 
+def schema_of(fields: list[str]) -> str:
+    """A metadata schema of text fields, as JSON: what an upload's metadata object gives a new set."""
+    return json.dumps({"version": 1, "fields": [{"name": f, "type": "String"} for f in fields]})
+
+
 def term_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, pos, term) by the simple analyser."""
     return docs.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col(text_col))).alias("pos", "term"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import number_of, pack
+from ..functions.text import infer_fields, parse_schema, schema_of
 from ..shared import few, settled
 from .sorting import positioned
 
@@ -128,6 +129,18 @@ def next_numbers(new: DataFrame, existing: DataFrame, document_set_id: int, orde
     return positioned(new, order, "__n").withColumn("id", F.lit(top + 1) + F.col("__n")).drop("__n")
 
 
+def finish_upload(document_set: DataFrame, document_set_id: int, title: str, metadata_json: str) -> DataFrame:
+    """The sets with a new one, whose metadata schema has the fields of the upload's metadata."""
+    row = document_set.sparkSession.createDataFrame([(document_set_id, title, schema_of(infer_fields(metadata_json)))], "id long, title string, metadata_schema string")
+    return document_set.unionByName(row, allowMissingColumns=True)
+
+
+def update_schema(document_set: DataFrame, document_set_id: int, schema: str) -> DataFrame:
+    """A set's metadata schema replaced.  Raises ValueError for what isn't one."""
+    parse_schema(schema)
+    return document_set.withColumn("metadata_schema", F.when(F.col("id") == document_set_id, F.lit(schema)).otherwise(F.col("metadata_schema")))
+
+
 def put_state(state: DataFrame, key: str, value: str) -> DataFrame:
     """A store's key-value state after one write."""
     return state.filter(F.col("key") != key).unionByName(state.sparkSession.createDataFrame([(key, value)], "key string, value string"))

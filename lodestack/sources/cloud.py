@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import math
+import urllib.error
+import urllib.request
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +49,50 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("r.documents").alias("d")).select("d.id", "d.title", F.col("d.pages").alias("n_pages"), F.col("d.resources.text").alias("text_url"), F.col("d.resources.page.text").alias("page_url"), "d.access")
 
 
+class _NoRedirect(urllib.request.HTTPRedirectHandler):
+    def redirect_request(self, *args, **kwargs):
+        return None
+
+
+def fetch(url: str, credentials: tuple[str, str] | None = None, timeout: float = 30.0) -> bytes:
+    """The body of a 200 answer; anything else raises OSError.
+
+    One redirect is followed, without the credentials: private texts lie at signed addresses that mustn't see them.
+    """
+    opener = urllib.request.build_opener(_NoRedirect)
+
+    def get(address: str, headers: dict[str, str]):
+        try:
+            return opener.open(urllib.request.Request(address, headers=headers), timeout=timeout)
+        except urllib.error.HTTPError as e:
+            return e
+
+    token = base64.b64encode(":".join(credentials).encode()).decode() if credentials else None
+    answer = get(url, {"Authorization": f"Basic {token}"} if token else {})
+    if answer.status in (301, 302, 303, 307, 308):
+        answer = get(answer.headers["Location"], {})
+    with answer:
+        if answer.status != 200:
+            raise OSError(f"HTTP {answer.status} for {url}")
+        return answer.read()
+
+
+def fetch_texts(rows: DataFrame, credentials: tuple[str, str] | None = None, url: str = "text_url") -> DataFrame:
+    """``rows`` (id, access, url) fetched by the executors: id, text, error.  Credentials go with private documents only; a failure is a row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, access, address in zip(batch.id, batch.access, batch.url, strict=True):
+                try:
+                    out.append((i, fetch(address, credentials if access != "public" else None).decode("utf-8", "replace"), None))
+                except (OSError, ValueError) as e:
+                    out.append((i, None, str(e)))
+            yield pd.DataFrame(out, columns=["id", "text", "error"])
+
+    return rows.select("id", "access", F.col(url).alias("url")).mapInPandas(run, "id string, text string, error string")
+
+
 def split_pages(docs: DataFrame, pages: str = "n_pages") -> DataFrame:
     """A row per page, numbered from 1; a document of one page (or none) stays one row without a page number."""
     numbers = F.when(F.col(pages) > 1, F.sequence(F.lit(1), F.greatest(F.col(pages), F.lit(2)).cast("int"))).otherwise(F.array(F.lit(None).cast("int")))

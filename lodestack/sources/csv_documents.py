@@ -20,10 +20,12 @@ class CsvScanner:
     """Lenient push scanner of CSV text.
 
     Line feeds, carriage returns and their pair end a row; empty rows are skipped.  A quote opens quoting wherever it
-    stands in a value; inside, two quotes are one, and what follows a closing quote belongs to the value.
+    stands in a value; inside, two quotes are one, and what follows a closing quote belongs to the value.  Further line
+    ends may be named: previews take U+0085 for one.
     """
 
-    def __init__(self):
+    def __init__(self, more_ends: str = ""):
+        self._ends = "\r\n" + more_ends
         self.rows: list[list[str]] = []
         self._row: list[str] = []
         self._value: list[str] = []
@@ -48,7 +50,7 @@ class CsvScanner:
                 self._quoted = True
             elif c == ",":
                 self._row.append(self._take())
-            elif c in "\r\n":
+            elif c in self._ends:
                 self._end_row()
             else:
                 self._value.append(c)
@@ -80,6 +82,17 @@ def scan_csv(text: str) -> tuple[list[list[str]], bool]:
     return scanner.rows, whole
 
 
+def preview_csv(text: str, most_rows: int = 100) -> tuple[list[str], list[dict[str, str]]]:
+    """Header and first rows of the beginning of a file, which may end anywhere.  Raises ValueError without a header."""
+    scanner = CsvScanner("\u0085")
+    scanner.write(text.removeprefix("\ufeff"))
+    scanner.end()
+    if not scanner.rows:
+        raise ValueError("a CSV file needs a header")
+    header, *rows = scanner.rows
+    return header, [dict(zip(header, [*row, *[""] * len(header)], strict=False)) for row in rows[:most_rows]]
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Rows of CSV files by Spark's parallel reader: quoted line ends, doubled quotes, header first.  All columns are strings."""
     return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding=encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -507,3 +507,82 @@ def test_positions_survive_a_second_reading(spark):
     df = spark.range(5000).select((F.col("id") * 37 % 5000).alias("id")).repartition(7)
     placed = sorting.positioned(df, [F.col("id")])
     assert placed.filter("id <> pos").count() == 0 and placed.count() == 5000
+
+
+def test_csv_preview():
+    header, rows = csv_documents.preview_csv('\ufeffid,text\u00851,"a\u0085b"\r\n\n2\n3,"cut off')
+    assert header == ["id", "text"] and rows == [{"id": "1", "text": "a\u0085b"}, {"id": "2", "text": ""}, {"id": "3", "text": "cut off"}]
+    with pytest.raises(ValueError):
+        csv_documents.preview_csv("\n\n")
+
+
+def test_fetch_takes_only_200_and_sends_no_credentials_on(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            seen.append((self.path, self.headers.get("Authorization")))
+            status = {"/moved": 302, "/gone": 404, "/twice": 302}.get(self.path, 200)
+            self.send_response(status)
+            if status == 302:
+                self.send_header("Location", f"http://127.0.0.1:{port}/" + ("moved" if self.path == "/twice" else "there"))
+            self.end_headers()
+            self.wfile.write("té".encode() if status == 200 else b"")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    port = server.server_port
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        rows = spark.createDataFrame([(n, a, f"http://127.0.0.1:{port}/{p}") for n, a, p in (("1", "private", "moved"), ("2", "public", "there"), ("3", "public", "gone"), ("4", "public", "twice"))] + [("5", "public", "nonsense")], "id string, access string, text_url string")
+        got = {r.id: (r.text, r.error is None) for r in cloud.fetch_texts(rows, ("user", "secret")).collect()}
+    finally:
+        server.shutdown()
+    assert got == {"1": ("té", True), "2": ("té", True), "3": (None, False), "4": (None, False), "5": (None, False)}
+    assert {p for p, a in seen if a} == {"/moved"}
+
+
+def test_sets_of_uploads(spark):
+    sets = spark.createDataFrame([(1, "old", None)], "id long, title string, metadata_schema string")
+    out = mutate.finish_upload(sets, 2, "new", '{"b": 1, "a": "x"}')
+    assert [f["name"] for f in parse_schema(out.filter("id = 2").first().metadata_schema)] == ["b", "a"]
+    changed = mutate.update_schema(out, 1, '{"version": 1, "fields": []}')
+    assert changed.filter("id = 1").first().metadata_schema == '{"version": 1, "fields": []}' and changed.filter("id = 2").first().metadata_schema
+    with pytest.raises(ValueError):
+        mutate.update_schema(out, 1, '{"version": 2}')
+
+
+def test_sampled_links(spark):
+    x = grouped(3, 8)
+    v = long_vectors(spark, x)
+    want = set()
+    for edges, least in ((4, 0.5), (500, 0.5)):
+        want = set()
+        for a in range(len(x)):
+            product = (x[a] * x).max(axis=1)
+            best = [b for b in sorted(range(len(x)), key=lambda b: (-product[b], b)) if b != a][:edges]
+            want |= {(min(a, b), max(a, b)) for b in best if x[a] @ x[b] >= least}
+        assert {(r.a, r.b) for r in vectors.sampled_links(v, edges, least).collect()} == want
+
+
+def test_tree_of_components(spark):
+    x = grouped()
+    v, docs = long_vectors(spark, x), spark.range(len(x) + 2)
+    node, bridge = cluster.build_tree(v, docs, "ConnectedComponents")
+    of = {}
+    for r in bridge.collect():
+        of.setdefault(r.node_id, set()).add(r.document_id)
+    nodes = {r.id: r for r in node.collect()}
+    root = [n for n in nodes.values() if n.parent_id is None]
+    assert len(root) == 1 and of[root[0].id] == set(range(len(x) + 2)) and set(of) == set(nodes)
+    assert {frozenset(of[i]) for i, n in nodes.items() if n.parent_id == root[0].id} == {frozenset(range(k, len(x), 3)) for k in range(3)}
+    for i, n in nodes.items():
+        assert n["size"] == len(of[i]) and n.is_leaf == (i not in {m.parent_id for m in nodes.values()})
+        if n.parent_id is not None:
+            assert of[i] < of[n.parent_id]
+    assert cluster.build_tree(v, docs, "KMeans")[0].filter("parent_id is null").count() == 1
