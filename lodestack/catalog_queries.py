@@ -447,8 +447,8 @@ def parse_ids(spark, sf_dir):
 # vectors and clustering
 
 
-def lexed(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    texts = table(spark, sf_dir, name).select(F.col(key).alias("id"), "text").repartition("id")
+def lexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").repartition("id")
     return texts.select("id", weighted_terms(terms(F.col("text")), [], {}).alias("terms"))
 
 
@@ -458,7 +458,7 @@ f AS (SELECT id, unnest(t) AS term FROM y UNION ALL SELECT id, unnest(list_trans
 tf AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS tf FROM f GROUP BY id, term),
 df AS (SELECT term, CAST(sum(tf) AS BIGINT) AS uses, count(*) AS n_docs FROM tf GROUP BY term)
 """
-DOCS, ITEMS = LEX.format("documents", "doc_id"), LEX.format("benchmark", "item_id")
+DOCS = LEX.format("documents", "doc_id")
 
 
 @query(DOCS + "SELECT id, term, tf FROM tf")
@@ -491,42 +491,30 @@ def bigram_likelihood(spark, sf_dir):
     return vectors.collocations(df).select("term", F.round("likelihood", 3).alias("likelihood"))
 
 
-W = LLR.format("(CASE WHEN (SELECT count(*) FROM benchmark) < 200 THEN 3 ELSE 5 END)") + """, k AS (SELECT term, log10((SELECT count(*) FROM benchmark) / CAST(n_docs AS DOUBLE)) AS idf FROM df WHERE n_docs >= (CASE WHEN (SELECT count(*) FROM benchmark) < 200 THEN 2 ELSE 3 END) AND n_docs < (SELECT count(*) FROM benchmark) AND (term NOT LIKE '% %' OR term IN (SELECT term FROM l WHERE likelihood >= 30 AND above))),
+W = LLR.format(5) + """, k AS (SELECT term, log10((SELECT count(*) FROM documents) / CAST(n_docs AS DOUBLE)) AS idf FROM df WHERE n_docs >= 3 AND n_docs < (SELECT count(*) FROM documents) AND (term NOT LIKE '% %' OR term IN (SELECT term FROM l WHERE likelihood >= 30 AND above))),
 w AS (SELECT id, term, tf * idf AS w FROM tf JOIN k USING (term)), v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w)
 """
-
-
-def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.vectors(vectors.term_frequencies(lexed(spark, sf_dir, "benchmark", "item_id")), table(spark, sf_dir, "benchmark").count())
-
-
-@query(ITEMS + W + "SELECT id, term, round(weight, 6) AS weight FROM v")
-def tfidf_vectors(spark, sf_dir):
-    return item_vectors(spark, sf_dir).select("id", "term", F.round("weight", 6).alias("weight"))
-
-
-@query(ITEMS + W + "SELECT a.id AS a, b.id AS b, round(sum(a.weight * b.weight), 6) AS cosine FROM v a JOIN v b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id HAVING sum(a.weight * b.weight) >= 0.1")
-def cosine_pairs(spark, sf_dir):
-    return vectors.similar_pairs(item_vectors(spark, sf_dir), 0.1).select("a", "b", F.round("cosine", 6).alias("cosine"))
+PAIRS = "SELECT a.id AS a, b.id AS b, sum(a.weight * b.weight) AS cosine FROM v a JOIN v b ON a.term = b.term AND a.id < b.id GROUP BY a.id, b.id"
 
 
 def all_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vectors(vectors.term_frequencies(lexed(spark, sf_dir)), table(spark, sf_dir, "documents").count())
 
 
-@query()
-def document_vectors(spark, sf_dir):
-    """As tfidf_vectors, over all documents."""
+@query(DOCS + W + "SELECT id, term, round(weight, 6) AS weight FROM v")
+def tfidf_vectors(spark, sf_dir):
     return all_vectors(spark, sf_dir).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query()
-def document_cosine_pairs(spark, sf_dir):
-    """As cosine_pairs, over all documents."""
+@query(DOCS + W + f"SELECT a, b, round(cosine, 6) AS cosine FROM ({PAIRS}) WHERE cosine >= 0.1")
+def cosine_pairs(spark, sf_dir):
     return vectors.similar_pairs(settled(all_vectors(spark, sf_dir)), 0.1).select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+@query(
+    DOCS + W + """, t AS (SELECT id, list(term ORDER BY weight DESC, term) AS t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, term) AS rank FROM v) WHERE rank <= 7 GROUP BY id)
+SELECT id, array_to_string(list_filter(t, lambda x: contains(x, ' ') OR NOT list_contains(flatten(list_transform(list_filter(t, lambda y: contains(y, ' ')), lambda y: string_split(y, ' '))), x)), ', ') AS keywords FROM t"""
+)
 def keywords(spark, sf_dir):
     return vectors.keywords(all_vectors(spark, sf_dir)).select("id", F.array_join("keywords", ", ").alias("keywords"))
 
@@ -554,7 +542,10 @@ def cluster_tree(spark, sf_dir):
     return node.join(cluster.node_labels(bridge, vector).withColumnRenamed("node_id", "id"), "id")
 
 
-@query()
+@query((DOCS + W).replace("WITH x AS", "WITH RECURSIVE x AS") + f""", p0 AS ({PAIRS} HAVING sum(a.weight * b.weight) >= 0.2 - 1e-12), p AS (SELECT * FROM p0 UNION ALL SELECT b, a, cosine FROM p0),
+h AS (SELECT i AS level, [0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1][i] AS d FROM range(1, 9) t(i)),
+r AS (SELECT DISTINCT level, id, id AS reach FROM v, h UNION SELECT r.level, r.id, p.b FROM r JOIN h ON h.level = r.level JOIN p ON p.a = r.reach AND p.cosine >= 1 - h.d - 1e-12)
+SELECT doc_id AS document_id, 0 AS level, (SELECT min(doc_id) FROM documents) AS component FROM documents UNION ALL SELECT id, CAST(level AS INT), min(reach) FROM r GROUP BY id, level""")
 def threshold_components(spark, sf_dir):
     """Nested components of all documents."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))

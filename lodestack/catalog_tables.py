@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog_queries import CANON, DT, ITEMS, D, W, corpus, document_tag, documents, lexed, node_document, query, searched, table, tag
+from .catalog_queries import CANON, DOCS, DT, D, W, corpus, document_tag, documents, lexed, node_document, query, searched, table, tag
 from .functions import ids as id_functions
 from .functions.text import metadata_value, short_tokens, terms, textify_bytes, truncated, weighted_terms
 from .operators import cluster, components, facets, highlight, index, lists, lookups, mutate, selection, sorting, trees, vectors
@@ -581,17 +581,17 @@ def heaviest_terms(spark, sf_dir):
     return vectors.top_terms(vector(spark, sf_dir), 3).select("id", "rank", "term", F.round("weight", 9).alias("weight"))
 
 
-@query(ITEMS.replace("UNION ALL SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM y", "") + """, k AS (SELECT term, log10((SELECT count(*) FROM benchmark) / CAST(n_docs AS DOUBLE)) AS idf FROM df WHERE n_docs >= (CASE WHEN (SELECT count(*) FROM benchmark) < 200 THEN 2 ELSE 3 END) AND n_docs < (SELECT count(*) FROM benchmark)),
+@query(DOCS.replace("UNION ALL SELECT id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM y", "") + """, k AS (SELECT term, log10((SELECT count(*) FROM documents) / CAST(n_docs AS DOUBLE)) AS idf FROM df WHERE n_docs >= 3 AND n_docs < (SELECT count(*) FROM documents)),
 w AS (SELECT id, term, tf * idf AS w FROM tf JOIN k USING (term)) SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM w""")
 def unigram_vectors(spark, sf_dir):
-    tf = vectors.term_frequencies(lexed(spark, sf_dir, "benchmark", "item_id"), pairs=False)
-    return vectors.vectors(tf, table(spark, sf_dir, "benchmark").count()).select("id", "term", F.round("weight", 6).alias("weight"))
+    tf = vectors.term_frequencies(lexed(spark, sf_dir), pairs=False)
+    return vectors.vectors(tf, table(spark, sf_dir, "documents").count()).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-@query(ITEMS + W.replace("tf * idf AS w", "tf AS w") + "SELECT id, term, round(weight, 6) AS weight FROM v")
+@query(DOCS + W.replace("tf * idf AS w", "tf AS w") + "SELECT id, term, round(weight, 6) AS weight FROM v")
 def frequency_vectors(spark, sf_dir):
-    tf = vectors.term_frequencies(lexed(spark, sf_dir, "benchmark", "item_id"))
-    return vectors.vectors(tf, table(spark, sf_dir, "benchmark").count(), use_idf=False).select("id", "term", F.round("weight", 6).alias("weight"))
+    tf = vectors.term_frequencies(lexed(spark, sf_dir))
+    return vectors.vectors(tf, table(spark, sf_dir, "documents").count(), use_idf=False).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT l_orderkey FROM lineitem)")

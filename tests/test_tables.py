@@ -327,11 +327,11 @@ def test_vector_queries_cover_the_documents(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: catalog.Q[name](spark, str(tmp_path)).collect()
     x = {}
-    for r in run("document_vectors"):
+    for r in run("tfidf_vectors"):
         x.setdefault(r.id, {})[r.term] = r.weight
     dot = lambda a, b: sum(w * x[b].get(t, 0) for t, w in x[a].items())
     want = {(a, b): dot(a, b) for a in x for b in x if a < b and dot(a, b) >= 0.1}
-    got = {(r.a, r.b): r.cosine for r in run("document_cosine_pairs")}
+    got = {(r.a, r.b): r.cosine for r in run("cosine_pairs")}
     assert set(got) == set(want) and all(abs(got[p] - want[p]) < 1e-4 for p in want) and set(x) <= set(range(24))
     assert {r.id for r in run("k_means_clusters")} == set(x)
     found = run("threshold_components")
