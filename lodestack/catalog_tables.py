@@ -6,6 +6,8 @@ files of sets, events for store objects; ``vector`` is the line items' flags and
 
 from __future__ import annotations
 
+import io
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ from .plans.compile import IndexSearch
 from .plans.parser import parse
 from .shared import new_path, settled
 from .sinks import export
-from .sources import cloud, csv_documents, files
+from .sources import blobs, cloud, csv_documents, files
+from .streaming import ingest
 
 NULL = lambda kind: F.lit(None).cast(kind)
 
@@ -225,6 +228,67 @@ def ingest_texts(spark, sf_dir):
     return files.ingest(files.process(roots), there, 9)[0].select("supplied_id", "id", "title", F.md5("text").alias("text_md5"))
 
 
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select(F.col("supplied_id").alias("id"), "title", F.coalesce("text", F.lit("")).alias("text")).orderBy("id")
+
+
+EXPORTED = "SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS id, source || '/' || doc_id AS title, md5(coalesce(text, '')) AS text_md5 FROM documents"
+
+
+@query(EXPORTED)
+def csv_file_round_trip(spark, sf_dir):
+    """One CSV file as it is downloaded, and read back."""
+    path = new_path(spark, "csv-file")
+    blobs.create_blob(spark, f"{path}/all.csv", b"".join(export.csv_bytes(_exported(spark, sf_dir))))
+    rows = csv_documents.named_rows(csv_documents.read_csv_leniently(spark, path))
+    return rows.select("id", "title", F.md5("text").alias("text_md5"))
+
+
+@query(EXPORTED)
+def json_round_trip(spark, sf_dir):
+    """The streamed JSON array of documents, and read back."""
+    path = new_path(spark, "json-file")
+    blobs.create_blob(spark, f"{path}/all.json", "".join(export.json_documents(_exported(spark, sf_dir), ["id", "title", "text"])).encode())
+    rows = spark.read.schema("id string, title string, text string").json(path, multiLine=True)
+    return rows.select("id", "title", F.md5("text").alias("text_md5"))
+
+
+@query("SELECT min(doc_id) AS first, source || '/' || (doc_id % 50) || '.txt' AS name, md5(min_by(coalesce(text, ''), doc_id)) AS text_md5 FROM documents GROUP BY name")
+def zip_round_trip(spark, sf_dir):
+    """An archive of texts, of equal names the first; then ingested as an uploaded file, whose entries are its children."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat("source", F.lit("/"), F.col("doc_id") % 50, F.lit(".doc")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    entries = export.archive_entries(d)
+    path, out = new_path(spark, "zip"), io.BytesIO()
+    export.write_zip(((r["name"], r.text.encode()) for r in entries.orderBy("id").toLocalIterator()), out)
+    blobs.create_blob(spark, f"{path}/all.zip", out.getvalue())
+    found = files.process(files.read_files(spark, path)).filter("is_document")
+    return found.join(entries.select("id", "name"), F.col("filename") == F.col("name")).select(entries["id"].alias("first"), "name", F.md5(found["text"]).alias("text_md5"))
+
+
+@query("SELECT n_name AS name, length(n_name) AS n, left(n_name, 4) AS start FROM nation")
+def blobs_written(spark, sf_dir):
+    """A blob for each nation, written, read by the executors, and one of them deleted again."""
+    path = new_path(spark, "blobs")
+    where = lambda name: blobs.blob_path(f"file:names:{name}", {"file": path})
+    for r in table(spark, sf_dir, "nation").select("n_name").collect():
+        blobs.create_blob(spark, where(r.n_name), r.n_name.encode())
+    blobs.create_blob(spark, where("gone"), b"gone")
+    blobs.delete_blobs(spark, [where("gone")])
+    rows = blobs.read_blobs(spark, f"{path}/names")
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n"), blobs.first_bytes(F.col("content"), 4).cast("string").alias("start"))
+
+
+@query("SELECT r_name || '.txt' AS filename, r_name || ' text' AS text, 1 AS n_files FROM region")
+def streamed_ingest(spark, sf_dir):
+    """A landing folder ingested as a stream, and its finished files."""
+    path = new_path(spark, "landing")
+    for r in table(spark, sf_dir, "region").select("r_name").collect():
+        blobs.create_blob(spark, f"{path}/in/{r.r_name}.txt", f"{r.r_name} text".encode())
+    ingest.ingest_stream(ingest.watch_files(spark, f"{path}/in", 2), f"{path}/out", f"{path}/state").awaitTermination()
+    done = spark.read.parquet(f"{path}/out")
+    return done.join(ingest.finished_trees(done).select("id", "n_files"), "id").select("filename", "text", "n_files")
+
+
 # selections
 
 
@@ -376,6 +440,22 @@ def tags_csv(spark, sf_dir):
     return export.tags_csv(facets.all_tag_counts(tag(spark), document_tag(spark, sf_dir)))
 
 
+@query("SELECT o_custkey AS document_set_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 UNION SELECT c_custkey, count(*) FROM customer GROUP BY 1) GROUP BY o_custkey")
+def views_and_trees_distinct(spark, sf_dir):
+    """The literal reading: two equal counts are one."""
+    views = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document_set_id"))
+    return facets.views_and_trees(views, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_set_id")), literal=True)
+
+
+@query(D + "SELECT id FROM d WHERE lang = 'es'")
+def selection_cached(spark, sf_dir):
+    """A selection found again by its request's key."""
+    cache, request = selection.SelectionCache(), selection.SelectionRequest(q="lang:es")
+    made = cache.find_or_create(corpus(spark, sf_dir), request)
+    found = cache.find(request.key())
+    return found.rows.select("id") if found is made else found.rows.limit(0).select("id")
+
+
 # changes
 
 
@@ -427,6 +507,16 @@ def search_after_edit(spark, sf_dir):
     return IndexSearch(postings, after.select("id"), "simple").search(parse("text:zebrafish"))
 
 
+@query(D + """, f AS (SELECT unnest(['title', 'text', 'meta:lang', 'meta:source']) AS field, unnest([tt, t, regexp_extract_all(lower(lang), '[\\p{L}\\p{N}]+'), regexp_extract_all(lower(source), '[\\p{L}\\p{N}]+')]) AS terms FROM d)
+SELECT field, CAST(sum(len(terms)) AS BIGINT) AS n_postings, CAST(len(list_distinct(flatten(list(terms)))) AS BIGINT) AS n_terms FROM f GROUP BY field""")
+def index_built(spark, sf_dir):
+    """The term index and its dictionary, made and written anew; their sizes."""
+    path = new_path(spark, "index")
+    index.save_index(documents(spark, sf_dir), path, ["lang", "source"], "simple", offsets=False)
+    terms_ = spark.read.parquet(f"{path}/dictionary").groupBy("field").agg(F.count("*").alias("n_terms"))
+    return spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.count("*").alias("n_postings")).join(terms_, "field")
+
+
 @query(D + "SELECT term, CAST(count(DISTINCT id) AS BIGINT) AS n_docs FROM (SELECT id, unnest(t) AS term FROM d WHERE lang <> 'fr') GROUP BY term")
 def index_without_documents(spark, sf_dir):
     d = documents(spark, sf_dir).select("id", "text", "lang")
@@ -599,6 +689,17 @@ def documents_without_vector(spark, sf_dir):
     return vectors.empty_documents(documents(spark, sf_dir), vector(spark, sf_dir))
 
 
+@query(V + """, b AS (SELECT DISTINCT id % 6 AS node_id, id FROM v), z AS (SELECT node_id, count(*) AS size FROM b GROUP BY node_id),
+t AS (SELECT node_id, term, sum(weight) AS w, count(*) AS df, row_number() OVER (PARTITION BY node_id ORDER BY sum(weight) DESC, term) AS r FROM b JOIN v USING (id) GROUP BY node_id, term),
+k AS (SELECT node_id, CASE WHEN df = size THEN 'ALL: ' WHEN df >= ceil(size * 0.7) THEN 'MOST: ' ELSE 'SOME: ' END AS kind, string_agg(term, ', ' ORDER BY r) AS terms FROM t JOIN z USING (node_id) WHERE r <= 10 GROUP BY 1, 2)
+SELECT node_id, string_agg(kind || terms, '  ' ORDER BY kind) AS description FROM k GROUP BY node_id""")
+def node_descriptions(spark, sf_dir):
+    """The labels of tree nodes."""
+    v = vector(spark, sf_dir)
+    bridge = v.select((F.col("id") % 6).alias("node_id"), F.col("id").alias("document_id")).distinct()
+    return cluster.node_labels(bridge, v).select("node_id", "description")
+
+
 STOP = ["thing", "they", "with"]
 EMPHASIS = {"^stu": 5.0, "id$": 3.0}
 
