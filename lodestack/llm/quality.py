@@ -39,30 +39,34 @@ def _repeat_words(words: Column) -> Column:
 
         return F.when(F.size(F.array_distinct(grams)) == F.size(grams), F.lit(0)).otherwise(let(pairs, spread))
 
-    def grams(w: Column) -> Column:
-        return F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    grams = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)))
+    return let(grams, covered)
 
-    return let(words, lambda w: let(grams(w), covered))
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (longs) of a text; null counts as empty."""
+
+def base_struct(text: Column) -> Column:
+    """A struct of BASE (longs) of a text; null counts as empty.  The text is split into words once."""
     text = F.coalesce(text, F.lit(""))
-    words = words_of(text)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    left = lambda chars: F.length(F.translate(text, chars, ""))
-    return {
-        "n_words": F.size(words).cast("long"),
-        "word_chars": left(" \t\n\x0b\f\r").cast("long"),
-        "n_symbols": (F.length(text) - left(SYMBOLS)).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": _repeat_words(words).cast("long"),
-    }
+
+    def counts(w: Column) -> Column:
+        values = (
+            F.size(w),
+            F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)),
+            F.regexp_count(text, F.lit(f"[{SYMBOLS}]")),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+            _repeat_words(w),
+        )
+        return F.struct(*[v.cast("long").alias(name) for v, name in zip(values, BASE, strict=True)])
+
+    return let(words_of(text), counts)
 
 
 def hashed_grams(text: Column) -> Column:
     """Buckets of a text's lower-cased tokens (runs of letters and digits, runs of other marks) and token pairs."""
-    bucket = lambda *x: F.pmod(F.xxhash64(*x), F.lit(BUCKETS)).cast("int")
+    bucket = lambda *x: F.xxhash64(*x).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")  # noqa: E731  BUCKETS is a power of two
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
     def both(t: Column) -> Column:
@@ -103,11 +107,11 @@ def quality(docs: DataFrame, ratios: list[float], text_col: str = "text", least_
     Null and empty texts have all counts 0 and fail.  Ties don't arise: every row is decided by itself, repeated rows alike.
     Columns of ``docs``, whatever their names, are kept as they are.
     """
-    base = base_columns(F.col(text_col))
-    struct = F.struct(*[c.alias(n) for n, c in base.items()], mean_ratio(F.col(text_col), ratios).alias("score"))
+    struct = F.struct(base_struct(F.col(text_col)).alias("base"), mean_ratio(F.col(text_col), ratios).alias("score"))
 
-    def judged(b: Column) -> Column:
+    def judged(x: Column) -> Column:
+        b = x["base"]
         failed = (b["n_words"] < 50) | (100 * b["n_repeat_words"] > 50 * b["n_words"])
-        return F.struct(*[b[n].alias(n) for n in base], failed.alias("base_failed"), b["score"].alias("score"), (~failed & (b["score"] >= least_score)).alias("kept"))
+        return F.struct(*[b[n].alias(n) for n in BASE], failed.alias("base_failed"), x["score"].alias("score"), (~failed & (x["score"] >= least_score)).alias("kept"))
 
     return docs.withColumn("__quality", let(struct, judged))
