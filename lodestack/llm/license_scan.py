@@ -9,6 +9,7 @@ The templates are a fixed list, so the index that tasks hold has a fixed size.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -129,7 +130,7 @@ def _resolve(words: np.ndarray, hits: np.ndarray, grams: np.ndarray, index: Inde
         near = min(BAND // 2, len(template) - 1)
         for diagonal, p in sorted(set(places)):
             # a neighbour of a diagonal tried already, unless it is that of another copy
-            if last is not None and diagonal - last <= near and (not spans or any(a <= p <= b for a, b in spans)):
+            if last is not None and diagonal - last <= near and (not spans or spans[-1][0] <= p <= spans[-1][1]):
                 continue
             last = diagonal
             start = max(0, diagonal - BAND)
@@ -138,11 +139,12 @@ def _resolve(words: np.ndarray, hits: np.ndarray, grams: np.ndarray, index: Inde
             if matched >= LEAST_COVERAGE * len(template):
                 found.append((matched - gaps, matched / len(template), -t, t, matched, a + start, b + start))
                 spans.append((a + start, b + start))
-    kept: list[tuple] = []
+    kept: list[tuple[int, int, int, int]] = []  # first place, last place, template, matched words: in order, apart
     for x in sorted(found, reverse=True):
-        if all(x[6] < y[5] or y[6] < x[5] for y in kept):
-            kept.append(x)
-    return sorted((x[3], x[4], x[5], x[6]) for x in kept)
+        at = bisect.bisect_left(kept, (x[5],))
+        if (not at or kept[at - 1][1] < x[5]) and (at == len(kept) or x[6] < kept[at][0]):
+            kept.insert(at, (x[5], x[6], x[3], x[4]))
+    return sorted((t, matched, first, last) for first, last, t, matched in kept)
 
 
 @hashing.returning_memory
@@ -168,6 +170,8 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, matches) per row: each licence's name, matched share of the template, matched words and code-point span.
 
+    Of matches that overlap the one of more matched words, less words left out or put in, stays; of equal ones that of
+    greater coverage, then of the earlier template, then the later one in the text.  Copies beside each other all count.
     Null and empty texts have no matches.  Rows are scanned one by one, whole: no shuffle, repeated rows alike, null ids
     pass through, further columns are ignored.
     """

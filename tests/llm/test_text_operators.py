@@ -694,6 +694,17 @@ def test_whole_licences_and_copies(spark):
     assert [m.license for m in found[-3]] == ["MIT"] * 5 and [m.license for m in found[-2]] == ["MIT-text"] and found[-1] == []
 
 
+def test_a_long_text_of_many_licences(spark):
+    import time
+
+    line = "Released under the MIT License.\nLicensed under CC BY 4.0.\n"
+    df = spark.createDataFrame([(1, line * 4000), (2, "This work is licensed under the GNU General Public License, version 3. Released under the GNU General Public License v3.0.")], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r.matches for r in license_scan.scan_licenses(df).collect()}
+    assert len(found[1]) == 8000 and [m.license for m in found[1][:2]] == ["MIT", "CC-BY-4.0"] and time.time() - began < 60
+    assert [m.license for m in found[2]] == ["GPL-3.0", "GPL-3.0"]
+
+
 def test_license_lines_of_test_documents(spark):
     docs = documents(spark)
     line = re.compile(r"^(?:Released under the MIT License\.|Licensed under CC BY-NC 4\.0\.|Licensed under the Apache License, Version 2\.0\.|This work is licensed under the GNU General Public License, version 3\.)$", re.M)
