@@ -517,6 +517,17 @@ def index_built(spark, sf_dir):
     return spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.count("*").alias("n_postings")).join(terms_, "field")
 
 
+@query(D + "SELECT id, lang FROM d WHERE list_contains(t, 'idiot')")
+def documents_written(spark, sf_dir):
+    """Documents written in two loads with their postings, read back and searched."""
+    path, d = new_path(spark, "documents"), documents(spark, sf_dir)
+    for part in (d.filter("id % 2 = 0"), d.filter("id % 2 = 1")):
+        export.write_documents(part, f"{path}/table", "append", f"{path}/postings", ["lang"], "simple")
+    back = spark.read.parquet(f"{path}/table")
+    search = IndexSearch(spark.read.parquet(f"{path}/postings"), back.select("id"), "simple")
+    return back.select("id", "lang").join(search.search(parse("text:idiot")), "id", "left_semi")
+
+
 @query(D + "SELECT term, CAST(count(DISTINCT id) AS BIGINT) AS n_docs FROM (SELECT id, unnest(t) AS term FROM d WHERE lang <> 'fr') GROUP BY term")
 def index_without_documents(spark, sf_dir):
     d = documents(spark, sf_dir).select("id", "text", "lang")

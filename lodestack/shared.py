@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Tables of ids and a few numbers are broadcast up to this many rows, 16 MB at some 64 bytes a row in memory; longer ones are joined by a shuffle.
 BROADCAST_IDS = 250_000
+#: Keys of more rows than the HOT_SHARE-th part of all, and than HOT_LEAST, are joined by a broadcast: HOT_SHARE keys at most.
+HOT_SHARE, HOT_LEAST = 100_000, 64
 _OWN: set[str] = set()
 
 
@@ -81,3 +83,15 @@ def keep_ids(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi", ro
     ids = ids.select(ids[ids.columns[0]].alias("__key"))
     right = F.broadcast(ids) if rows <= BROADCAST_IDS else ids
     return df.join(right, df[key] == right["__key"], how)
+
+
+def joined_by_size(rows: DataFrame, sized: DataFrame, key: str, hot_least: int = HOT_LEAST) -> DataFrame:
+    """``rows`` joined with ``sized`` (key, copies, ...), a written table of one row a key; copies: the rows of that key.
+
+    A key's rows are not gathered: keys of many rows, at most HOT_SHARE of them by the choice of the bound, are broadcast;
+    the others have few rows each and are joined by a shuffle.  ``copies`` isn't in the result.
+    """
+    bound = max(hot_least, (sized.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE)
+    hot, cold = sized.filter(F.col("copies") > bound), sized.filter(F.col("copies") <= bound)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key)).drop("copies")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import metadata_value
+from ..operators.index import build_postings, save_postings
 from ..shared import few
 
 BOM = b"\xef\xbb\xbf"
@@ -138,6 +139,8 @@ def json_ids(docs: DataFrame) -> str:
     return json.dumps([r.id for r in docs.select("id").toLocalIterator()])
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "append") -> None:
-    """The document table: a folder per document set."""
+def write_documents(docs: DataFrame, path: str, mode: str = "append", index_path: str | None = None, metadata_fields: list[str] = (), analyzer: str = "unicode") -> None:
+    """The document table, a folder per document set; with ``index_path`` the documents' postings too, so that searches find them."""
     docs.write.mode(mode).partitionBy("document_set_id").parquet(path)
+    if index_path:
+        save_postings(build_postings(docs, list(metadata_fields), analyzer), index_path, mode)
