@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..operators.components import edge_components
-from ..shared import few, keep_ids, settled
+from ..shared import HOT_LEAST, few, joined_by_size, keep_ids, settled
 from . import hashing
 
 ROWS, BANDS = 5, 32
@@ -41,8 +41,6 @@ LEAST_AGREEMENT = 0.66
 BLOCK, SET_BLOCK = 512, 128
 PAIRS_AT_ONCE = 1 << 15
 EMPTY = 0xFFFFFFFF
-#: Keys of more rows than the HOT_SHARE-th part of all, and than HOT_LEAST, are joined by a broadcast: HOT_SHARE keys at most.
-HOT_SHARE, HOT_LEAST = 100_000, 64
 #: Rows of one task that compares signatures: the work is in the comparisons, not in the bytes.
 ROWS_A_TASK = 4096
 
@@ -198,18 +196,6 @@ def _link_blocks(percent: int):
     return run
 
 
-def _joined_by_size(rows: DataFrame, sized: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined with ``sized`` (key, copies, ...), which has one row a key; copies: the rows of that key.
-
-    A key's rows are not gathered: keys of many rows, at most HOT_SHARE of them by the choice of the bound, are broadcast;
-    the others have few rows each and are joined by a shuffle.
-    """
-    bound = max(HOT_LEAST, (sized.agg(F.sum("copies")).first()[0] or 0) // HOT_SHARE)
-    hot, cold = sized.filter(F.col("copies") > bound), sized.filter(F.col("copies") <= bound)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold, key)).drop("copies")
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id reachable over links), kept (doc_id = component_id), digest, component.
 
@@ -290,11 +276,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 80,
     placed = settled(reps.select("id", "digest", "copies", "doc_id").join(first, "id", "left"), "placed")
     joined = placed.filter("comp is not null").select("digest", "comp", F.col("copies").alias("rows"), "doc_id")
     least = settled(joined.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("copies")), "least")
-    found = _joined_by_size(joined, least, "comp").select("digest", F.col("rows").alias("copies"), "component_id", F.col("comp").alias("component"))
+    found = joined_by_size(joined, least, "comp", HOT_LEAST).select("digest", F.col("rows").alias("copies"), "component_id", F.col("comp").alias("component"))
     alone = placed.filter("comp is null").select("digest", "copies", F.col("doc_id").alias("component_id"), F.col("id").alias("component"))
     found = settled(found.unionByName(alone), "components")
     rows = signed.select("doc_id", "n_shingles", "digest")
-    linked = _joined_by_size(rows.filter("digest is not null and doc_id is not null"), found, "digest")
+    linked = joined_by_size(rows.filter("digest is not null and doc_id is not null"), found, "digest", HOT_LEAST)
     others = rows.filter("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("component"))
     out = linked.select("doc_id", "n_shingles", "component_id", "digest", "component").unionByName(others)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "digest", "component")

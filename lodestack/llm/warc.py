@@ -29,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import BROADCAST_IDS, new_path, qualified, settled
+from ..shared import BROADCAST_IDS, joined_by_size, new_path, qualified, settled
 from . import hashing
 
 BLOCK_LINES = 256
@@ -321,8 +321,9 @@ def write_archive(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
     digest = F.sha1(F.coalesce("html", F.lit("")))
     size = F.octet_length(F.coalesce("html", F.lit("")))
     small = rows.filter(F.col("page_id").isNotNull() & (size >= least_bytes)).select("page_id", "url", digest.alias("sha"))
-    first = small.groupBy("sha").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    repeats = small.join(first, "sha").filter("page_id <> first.page_id").select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
+    first = settled(small.groupBy("sha").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1"), "repeated")
+    again = joined_by_size(small, first, "sha").filter("page_id <> first.page_id")
+    repeats = again.select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url"))
     repeats = settled(repeats.distinct(), "repeats")
     repeats = F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS // 8 else repeats
     records, index = (qualified(spark, new_path(spark, name)) for name in ("warc", "capture-index"))
