@@ -139,8 +139,8 @@ def json_ids(docs: DataFrame) -> str:
     return json.dumps([r.id for r in docs.select("id").toLocalIterator()])
 
 
-def write_documents(docs: DataFrame, path: str, mode: str = "append", index_path: str | None = None, metadata_fields: list[str] = (), analyzer: str = "unicode") -> None:
+def write_documents(docs: DataFrame, path: str, mode: str = "append", index_path: str | None = None, metadata_fields: list[str] = (), analyzer: str = "unicode", offsets: bool = True) -> None:
     """The document table, a folder per document set; with ``index_path`` the documents' postings too, so that searches find them."""
     docs.write.mode(mode).partitionBy("document_set_id").parquet(path)
     if index_path:
-        save_postings(build_postings(docs, list(metadata_fields), analyzer), index_path, mode)
+        save_postings(build_postings(docs, list(metadata_fields), analyzer, offsets), index_path, mode)
