@@ -155,6 +155,7 @@ class Model:
         self.held = 0
         self.shown = ["" if t == CONTROL else " ⁇ " if t == UNKNOWN else p.replace(MARK, " ") for p, t in zip(v.pieces, v.types.tolist(), strict=True)]
         self.is_byte = v.types == BYTE
+        self.byte_of = np.array([int(p[3:5], 16) if t == BYTE else 0 for p, t in zip(v.pieces, v.types.tolist(), strict=True)], np.uint8)
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -290,15 +291,12 @@ class Model:
     def decode(self, ids) -> str:
         """The text of piece ids; invalid UTF-8 from byte pieces becomes U+FFFD, control pieces nothing."""
         ids = np.asarray(ids, np.int64)
-        if self.is_byte[ids].any():
-            out, run = [], bytearray()
-            for i in ids.tolist():
-                if self.is_byte[i]:
-                    run.append(int(self.vocabulary.pieces[i][3:5], 16))
-                    continue
-                out += (run.decode("utf-8", "replace"), self.shown[i])
-                run.clear()
-            text = "".join((*out, run.decode("utf-8", "replace")))
+        raw = self.is_byte[ids]
+        if raw.any():  # runs of byte pieces between runs of others
+            edges = [0, *(np.flatnonzero(raw[1:] != raw[:-1]) + 1).tolist(), len(ids)]
+            shown = list(map(self.shown.__getitem__, ids.tolist()))
+            parts = [self.byte_of[ids[a:b]].tobytes().decode("utf-8", "replace") if raw[a] else "".join(shown[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+            text = "".join(parts)
         else:
             text = "".join(map(self.shown.__getitem__, ids.tolist()))
         return text[1:] if self.vocabulary.dummy_prefix and text.startswith(" ") else text
@@ -306,7 +304,7 @@ class Model:
 
 #: Memory for remembered chunks, beyond which it starts anew; what one takes besides its text and ids, about.
 KEEP_BYTES, CHUNK_BYTES = 24_000_000, 200
-SLICE = 64
+SLICE = 256
 
 
 def encode_batches(path: str, digest: bool):
