@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,20 +75,26 @@ def blob_in_file(spark: SparkSession, path: str) -> Iterator[str]:
         yield f.name
 
 
-def create_blob(spark: SparkSession, path: str, data: bytes) -> int:
-    """Write one blob whole, under another name until it is complete; returns its length."""
+def create_blob(spark: SparkSession, path: str, data: bytes | Iterable[bytes]) -> int:
+    """Write one blob whole, under another name until it is complete; returns its length.  Of data that come in parts a chunk is held at a time."""
     fs, hadoop = _file(spark, path)
     _, part = _file(spark, f"{path}.part")
-    out = fs.create(part, True)
+    out, size, held = fs.create(part, True), 0, bytearray()
     try:
-        for at in range(0, len(data), CHUNK):
-            out.write(bytearray(data[at : at + CHUNK]))
+        for piece in [data] if isinstance(data, (bytes, bytearray)) else data:
+            for at in range(0, len(piece), CHUNK):
+                held += piece[at : at + CHUNK]
+                if len(held) >= CHUNK:
+                    out.write(held)
+                    size, held = size + len(held), bytearray()
+        out.write(held)
+        size += len(held)
     finally:
         out.close()
     fs.delete(hadoop, False)
     if not fs.rename(part, hadoop):
         raise OSError(f"can't write {path}")
-    return len(data)
+    return size
 
 
 def delete_blobs(spark: SparkSession, paths: list[str]) -> None:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
+import re
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +17,10 @@ from ..operators.sorting import positioned
 from ..shared import few, settled
 
 MOST_METADATA = 100
+#: Larger files are read in parallel, by blocks; others whole, in one task each.
+MOST_WHOLE = 32 << 20
+#: Rows of a large file go to Spark in parts of about so many characters.
+PART = 4 << 20
 #: Header names, lower-cased, that aren't metadata; the first there is of the text names gives the text.
 TEXT_NAMES = ("text", "contents", "snippet")
 NAMES = ("id", "url", "title", "tags", *TEXT_NAMES)
@@ -76,10 +86,30 @@ class CsvScanner:
 
 
 def scan_csv(text: str) -> tuple[list[list[str]], bool]:
-    scanner = CsvScanner()
-    scanner.write(text)
-    whole = scanner.end()
-    return scanner.rows, whole
+    """The rows of a CsvScanner, and whether the text was complete; by pieces between quotes, not by characters."""
+    rows: list[list[str]] = []
+    row: list[str] = []
+    value: list[str] = []
+    pieces = text.split('"')
+    for i, piece in enumerate(pieces):
+        if i % 2:
+            value.append(piece)
+        elif not piece and 0 < i < len(pieces) - 1:
+            value.append('"')  # two quotes inside quotes
+        else:
+            for j, line in enumerate(re.split("[\r\n]", piece)):
+                if j:
+                    if row or any(value):
+                        rows.append([*row, "".join(value)])
+                    row, value = [], []
+                first, *more = line.split(",")
+                value.append(first)
+                for field in more:
+                    row.append("".join(value))
+                    value = [field]
+    if row or any(value):
+        rows.append([*row, "".join(value)])
+    return rows, len(pieces) % 2 == 1
 
 
 def preview_csv(text: str, most_rows: int = 100) -> tuple[list[str], list[dict[str, str]]]:
@@ -99,9 +129,10 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFra
 
 
 def read_csv_leniently(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(path, row_number, header, row, whole) by CsvScanner, one task per file: for files whose quoting Spark's reader doesn't take.
+    """(path, row_number, header, row, whole) as CsvScanner has them: for files whose quoting Spark's reader doesn't take.
 
-    Bytes that aren't valid in the encoding are replaced.  ``row_number`` is the row's place in its file.
+    One task per file; a UTF-8 file over MOST_WHOLE bytes is read by blocks.  Bytes that aren't valid in the encoding are
+    replaced.  ``row_number`` is the row's place in its file.
     """
 
     def run(batches):
@@ -113,7 +144,135 @@ def read_csv_leniently(spark: SparkSession, path: str, encoding: str = "utf-8")
                 header = rows[0] if rows else []
                 yield pd.DataFrame({"path": name, "row_number": range(1, len(rows)), "header": [header] * (len(rows) - 1), "row": rows[1:], "whole": whole}, columns=["path", "row_number", "header", "row", "whole"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row_number long, header array<string>, row array<string>, whole boolean")
+    found = spark.read.format("binaryFile").load(path)
+    large = []
+    if codecs.lookup(encoding).name == "utf-8":  # in which a quote or a line end is no part of another character
+        large = [r.path for r in found.filter(F.col("length") > MOST_WHOLE).select("path").orderBy("path").collect()]
+        found = found.filter(F.col("length") <= MOST_WHOLE) if large else found
+    out = found.select("path", "content").mapInPandas(run, "path string, row_number long, header array<string>, row array<string>, whole boolean")
+    for one in large:
+        out = _large_rows(spark, one).unionByName(out)
+    return out
+
+
+def _block_pieces(lines: DataFrame, inside: dict[int, bool], survey: bool) -> DataFrame:
+    """Blocks cut into records, a record being the lines up to one that ends outside quotes.
+
+    (block, number, row) of the records that lie in one block; with ``survey`` instead (block, n, first, head, tail): the number of
+    those rows and the first, and the bytes before the first record's begin and from the last one's, which other blocks have
+    the rest of.  ``inside``: whether a block begins inside quotes.
+    """
+    strings, most = pa.list_(pa.string()), PART
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(block, rows, head, tail), several a block; head or tail is given once."""
+        at = None
+        for batch in batches:
+            done, held = [], 0
+            for block, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != at:
+                    if done:
+                        yield at, done, None, None
+                    if at is not None and record:  # noqa: F821
+                        yield at, [], None, (b"\n".join(record), starts)  # noqa: F821
+                    at, within, starts, record, done, held = block, inside[block], not inside[block], [], [], 0
+                record.append(line)
+                if line.count(b'"') % 2:
+                    within = not within
+                if not within:
+                    whole = b"\n".join(record)
+                    record = []
+                    if starts:
+                        done += scan_csv(whole.decode("utf-8", "replace"))[0]
+                        held += len(whole)
+                    else:
+                        yield at, [], whole, None
+                    starts = True
+                    if held > most:
+                        yield at, done, None, None
+                        done, held = [], 0
+            if done:
+                yield at, done, None, None
+        if at is not None and record:
+            yield at, [], None, (b"\n".join(record), starts)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number = None, 0
+        for block, done, _, _ in blocks(batches):
+            number = number if block == at else 0
+            at = block
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(done), pa.int64()), pa.array(range(number, number + len(done)), pa.int64()), pa.array(done, strings)], ["block", "number", "row"])
+            number += len(done)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, done, head, tail in blocks(batches):
+            tail, starts = tail or (None, None)
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((block, pa.int64()), (len(done), pa.int64()), (done[0] if done else None, strings), (head, pa.binary()), (tail, pa.binary()), (starts, pa.bool_()))], ["block", "n", "first", "head", "tail", "starts"])
+
+    if survey:
+        return lines.mapInArrow(summed, "block long, n long, first array<string>, head binary, tail binary, starts boolean")
+    return lines.mapInArrow(rows, "block long, number long, row array<string>")
+
+
+def _last_line_end(spark: SparkSession, path: str) -> bytes:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = fs.open(hadoop)
+    try:
+        stream.seek(fs.getFileStatus(hadoop).getLen() - 1)
+        return b"\n" if stream.read() == 10 else b""
+    finally:
+        stream.close()
+
+
+def _large_rows(spark: SparkSession, path: str) -> DataFrame:
+    """read_csv_leniently of one UTF-8 file by blocks, in three passes: quotes by block, rows by block, rows.
+
+    A block's state is the parity of the quotes before it.  A record that goes on in other blocks is joined apart: a piece or
+    two a block.  The driver holds a few numbers a block.
+    """
+    line = F.col("value")
+    read = spark.read.option("lineSep", "\n").text(re.sub(r"([\[\]{}*?\\])", r"\\\1", path)).select(F.col("_metadata.file_block_start").alias("block"), line)
+    quotes = F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit("")))
+    odd = sorted((r.block, r.n % 2) for r in read.groupBy("block").agg(F.sum(quotes).alias("n")).collect())
+    before = list(accumulate((n for _, n in odd), initial=0))
+    inside = {block: n % 2 == 1 for (block, _), n in zip(odd, before, strict=False)}
+    lines = read.select("block", line.cast("binary").alias("line"))
+    survey = settled(_block_pieces(lines, inside, True), "csv-blocks")
+    ends = survey.filter("head is not null or tail is not null").select("block", "starts", F.col("tail").isNotNull().alias("open")).collect()
+    # a piece belongs to the block in which its record begins
+    owner, last = [], None
+    for r in sorted(ends, key=lambda r: (r.block, r.open)):
+        last = r.block if r.open and r.starts else last
+        owner.append((r.block, r.open, last))
+    pieces = survey.filter("head is not null or tail is not null").select("block", F.col("tail").isNotNull().alias("open"), F.coalesce("tail", "head").alias("bytes"))
+    owners = spark.createDataFrame(owner, "block long, open boolean, owner long")
+    whole = before[-1] % 2 == 0
+    unread = {} if whole else {last: _last_line_end(spark, path)}  # by the line reader, and inside quotes
+
+    def joined(group):
+        import pandas as pd
+
+        text = b"\n".join(map(bytes, group.sort_values(["block", "open"]).bytes)) + unread.get(group.owner.iloc[0], b"")
+        found = scan_csv(text.decode("utf-8", "replace"))[0]
+        return pd.DataFrame({"block": group.owner.iloc[0], "number": range(len(found)), "row": found}, columns=["block", "number", "row"])
+
+    across = settled(pieces.join(F.broadcast(owners), ["block", "open"]).groupBy("owner").applyInPandas(joined, "block long, number long, row array<string>"), "csv-across")
+    n = {r.block: r.n for r in survey.groupBy("block").agg(F.sum("n").alias("n")).collect()}
+    more = {r.block: r.n for r in across.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    blocks = [b for b, _ in odd]
+    base = list(accumulate((n.get(b, 0) + more.get(b, 0) for b in blocks), initial=0))
+    first = next((b for b in blocks if n.get(b, 0) or more.get(b, 0)), None)
+    header = []
+    if first is not None:
+        own = survey.filter((F.col("block") == first) & F.col("first").isNotNull())
+        header = own.first()["first"] if n.get(first) == own.count() == 1 else None
+        header = header or (_block_pieces(lines.filter(F.col("block") == first), inside, False) if n.get(first) else across.filter(F.col("block") == first)).filter("number = 0").first()["row"]
+    at = spark.createDataFrame([(b, base[i], base[i] + n.get(b, 0)) for i, b in enumerate(blocks)], "block long, base long, after long")
+    rows = _block_pieces(lines, inside, False).join(F.broadcast(at), "block").select((F.col("base") + F.col("number")).alias("row_number"), "row")
+    rows = rows.unionByName(across.join(F.broadcast(at), "block").select((F.col("after") + F.col("number")).alias("row_number"), "row"))
+    return rows.filter("row_number > 0").select(F.lit(path).alias("path"), "row_number", F.array(*map(F.lit, header)).cast("array<string>").alias("header"), "row", F.lit(whole).alias("whole"))
 
 
 def named_rows(rows: DataFrame) -> DataFrame:

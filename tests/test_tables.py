@@ -586,3 +586,44 @@ def test_tree_of_components(spark):
         if n.parent_id is not None:
             assert of[i] < of[n.parent_id]
     assert cluster.build_tree(v, docs, "KMeans")[0].filter("parent_id is null").count() == 1
+
+
+def test_a_csv_text_is_scanned_by_pieces_as_by_characters():
+    rng = np.random.default_rng(2)
+    for n in range(4000):
+        text = "".join(rng.choice(list('""",,\n\r\nab é'), n % 40))
+        scanner = csv_documents.CsvScanner()
+        scanner.write(text)
+        whole = scanner.end()
+        assert csv_documents.scan_csv(text) == (scanner.rows, whole), repr(text)
+
+
+def test_one_large_csv_file_is_read_by_blocks(spark, tmp_path, monkeypatch):
+    """The same rows as of the whole file, though records lie across blocks and one fills several."""
+    rng = np.random.default_rng(4)
+    fields = ["".join(rng.choice(list('"",\n\rab é'), n % 23)) for n in range(300)]
+    fields[100] = 'long, "' + "x\n" * 900
+    data = ("\ufeffid,text\r\n" + "".join(export.csv_line([i, f]) for i, f in enumerate(fields))).encode() + b'bad\xff,"open\n'
+    (tmp_path / "a.csv").write_bytes(data)
+    (tmp_path / "b.csv").write_text("id,text\n1,small\n", "utf-8")
+    want = sorted(map(tuple, csv_documents.read_csv_leniently(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(csv_documents, "MOST_WHOLE", 100)
+    monkeypatch.setattr(csv_documents, "PART", 50)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = csv_documents.read_csv_leniently(spark, str(tmp_path))
+        assert found.filter("path like '%a.csv'").rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, found.collect())) == want
+        assert csv_documents.named_rows(found.filter("path like '%a.csv'")).columns == ["__order", "id", "text"]
+    finally:
+        for name in ("maxPartitionBytes", "openCostInBytes"):
+            spark.conf.unset(f"spark.sql.files.{name}")
+
+
+def test_a_blob_is_written_from_parts(spark, tmp_path):
+    """A stream's parts are never joined."""
+    path = f"{tmp_path}/x"
+    assert blobs.create_blob(spark, path, (bytes([i]) * 300_000 for i in range(9))) == 2_700_000
+    assert (tmp_path / "x").read_bytes() == b"".join(bytes([i]) * 300_000 for i in range(9))
+    assert blobs.create_blob(spark, path, iter(())) == 0 and (tmp_path / "x").read_bytes() == b""
