@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import metadata_value
@@ -126,13 +126,19 @@ def write_zip(entries: Iterable[tuple[str, bytes]], out: io.BufferedIOBase) -> i
 
 
 def json_documents(docs: DataFrame, columns: list[str]) -> Iterator[str]:
-    """A JSON array of documents, streamed."""
+    """A JSON array of documents, streamed, a line each."""
     first = True
-    yield "["
+    yield "[\n"
     for row in docs.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-        yield row.j if first else "," + row.j
+        yield row.j if first else ",\n" + row.j
         first = False
-    yield "]"
+    yield "\n]"
+
+
+def read_json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The documents of arrays by json_documents; one file is read by several tasks."""
+    lines = spark.read.option("lineSep", "\n").text(path).filter("value not in ('[', ']', '')")
+    return lines.select(F.from_json(F.regexp_replace("value", ",$", ""), schema).alias("d")).select("d.*")
 
 
 def json_ids(docs: DataFrame) -> str:

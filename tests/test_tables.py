@@ -622,8 +622,13 @@ def test_one_large_csv_file_is_read_by_blocks(spark, tmp_path, monkeypatch):
 
 
 def test_a_blob_is_written_from_parts(spark, tmp_path):
-    """A stream's parts are never joined."""
+    """A stream's parts are never joined, and JSON arrays are read by lines."""
     path = f"{tmp_path}/x"
     assert blobs.create_blob(spark, path, (bytes([i]) * 300_000 for i in range(9))) == 2_700_000
     assert (tmp_path / "x").read_bytes() == b"".join(bytes([i]) * 300_000 for i in range(9))
     assert blobs.create_blob(spark, path, iter(())) == 0 and (tmp_path / "x").read_bytes() == b""
+    docs = spark.createDataFrame([(1, 'a,\n"b",'), (2, None), (3, "[]")], "id long, text string")
+    for rows in (docs, docs.limit(0)):
+        blobs.create_blob(spark, f"{tmp_path}/j/x.json", (part.encode() for part in export.json_documents(rows, ["id", "text"])))
+        assert json.loads((tmp_path / "j/x.json").read_text("utf-8")) == [r.asDict() for r in rows.collect()]
+        assert sorted(map(tuple, export.read_json_documents(spark, f"{tmp_path}/j", "id long, text string").collect())) == sorted(map(tuple, rows.collect()))
