@@ -5,13 +5,19 @@ Write it partitioned by document set and sorted by (field, term): a search then
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import metadata_value, terms, tokens
+from ..functions.text import analyze, metadata_value, terms, tokens
 
 #: Metadata fields indexed per document set; ``unindexed_fields`` names the others.
 MOST_FIELDS = 100
+#: Postings of the Unicode analyser go to Spark in parts of about so many.
+PART = 20_000
 
 
 def notes_text(notes: Column) -> Column:
@@ -39,6 +45,8 @@ def build_postings(docs: DataFrame, metadata_fields: list[str] = (), analyzer: s
     Without ``offsets`` (begin and end null) the simple analyser is cheaper; searches don't need them.
     """
     owner = F.col("document_set_id") if "document_set_id" in docs.columns else F.lit(0)
+    if analyzer == "unicode":
+        return _unicode_postings(docs, owner, field_texts(docs, metadata_fields))
     bare = lambda text: F.transform(terms(text), lambda t: F.struct(t.alias("term"), F.lit(None).cast("int").alias("begin"), F.lit(None).cast("int").alias("end")))
     read = (lambda text: tokens(text, analyzer)) if offsets or analyzer != "simple" else bare
     fields = [F.struct(F.lit(name).alias("field"), read(text).alias("tokens")) for name, text in field_texts(docs, metadata_fields).items()]
@@ -46,6 +54,34 @@ def build_postings(docs: DataFrame, metadata_fields: list[str] = (), analyzer: s
     return rows.select("document_set_id", "id", "f.field", F.posexplode("f.tokens").alias("pos", "t")).select("document_set_id", "id", "field", "t.term", "pos", "t.begin", "t.end")
 
 
+def _unicode_postings(docs: DataFrame, owner: Column, texts: dict[str, Column]) -> DataFrame:
+    """The postings by the Unicode analyser, a document after the other: a worker holds the words of PART postings and one field."""
+    rows = docs.select(owner.cast("long").alias("document_set_id"), "id", *[t.alias(f"f{i}") for i, t in enumerate(texts.values())])
+    names, part = list(texts), PART
+    schema = StructType(rows.schema.fields[:2]).add("field", "string").add("term", "string").add("pos", "integer").add("begin", "integer").add("end", "integer")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field(0).type, batch.schema.field(1).type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+            made = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)  # noqa: E731, B023
+            columns: list[list] = [[] for _ in kinds]
+            for i in range(batch.num_rows):
+                owner_, id_ = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for k, name in enumerate(names, 2):
+                    found = analyze(batch.column(k)[i].as_py())
+                    for at in range(0, len(found), part):
+                        some = found[at : at + part]
+                        for column, values in zip(columns, ([owner_] * len(some), [id_] * len(some), [name] * len(some), [t[0] for t in some], range(at, at + len(some)), [t[1] for t in some], [t[2] for t in some]), strict=True):
+                            column += values
+                        if len(columns[0]) >= part:
+                            yield made(columns)
+                            columns = [[] for _ in kinds]
+            if columns[0]:
+                yield made(columns)
+
+    return rows.mapInArrow(run, schema)
+
+
 def save_postings(postings: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per document set, sorted by term within files; ``mode="append"`` adds documents."""
     ranged = postings.repartitionByRange("document_set_id", "field", "term", "id").sortWithinPartitions("document_set_id", "field", "term", "id", "pos")

@@ -185,3 +185,16 @@ def test_registered_phrase_prefix_has_no_cap(spark, tmp_path):
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(0, "click")], "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     assert catalog_queries.search_phrase_prefix(spark, str(tmp_path)).count() == 1200
+
+
+def test_unicode_postings_go_in_small_parts(spark, monkeypatch):
+    """No array of a whole batch's words: the parts that workers hand over are bounded, and hold every word in place."""
+    from lodestack.operators import index
+
+    monkeypatch.setattr(index, "PART", 3, raising=False)
+    docs = spark.createDataFrame([(1, "a B", "Straße x's 3.5 ﬁne e\u0301"), (2, None, None), (3, "", "w " * 10)], "id long, title string, text string").coalesce(1)
+    got = build_postings(docs)
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {(i, f, *t[:1], n, *t[1:]) for i, *texts in docs.collect() for f, text in zip(("title", "text"), texts, strict=True) for n, t in enumerate(analyze(text))}
+    assert {(r.id, r.field, r.term, r.pos, r.begin, r.end) for r in got.collect()} == want and got.count() == len(want)
+    assert got.columns == build_postings(docs, analyzer="simple").columns
