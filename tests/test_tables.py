@@ -632,3 +632,23 @@ def test_a_blob_is_written_from_parts(spark, tmp_path):
         blobs.create_blob(spark, f"{tmp_path}/j/x.json", (part.encode() for part in export.json_documents(rows, ["id", "text"])))
         assert json.loads((tmp_path / "j/x.json").read_text("utf-8")) == [r.asDict() for r in rows.collect()]
         assert sorted(map(tuple, export.read_json_documents(spark, f"{tmp_path}/j", "id long, text string").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_pairs_are_multiplied_by_blocks(spark, monkeypatch):
+    """Pairs of several blocks are all met once; links are few, and connect the same at every cosine."""
+    rng = np.random.default_rng(8)
+    x = rng.random((90, 40)) * (rng.random((90, 40)) < 0.3) + 1e-3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dots, v = x @ x.T, long_vectors(spark, x)
+    for name, value in (("BLOCK_ENTRIES", 500), ("MOST_LINKS", 30), ("MOST_PAIRS", 20)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    got = vectors.similar_pairs(v, 0.2).collect()
+    want = {(i, j): dots[i, j] for i in range(90) for j in range(i + 1, 90) if dots[i, j] >= 0.2}
+    assert len(got) == len(want) > 2000 and all(want[r.a, r.b] == pytest.approx(r.cosine) for r in got)
+    links = vectors.similar_links(v, 0.2).cache()
+    assert links.count() < len(want) / 2 and all(want[r.a, r.b] == pytest.approx(r.cosine) for r in links.collect())
+    ids_ = v.select("id").distinct()
+    pairs = spark.createDataFrame([(i, j, float(c)) for (i, j), c in want.items()], "a long, b long, cosine double")
+    for least in (0.2, 0.5, 0.6, 0.7):
+        one, two = (sorted(map(tuple, components.connected_components(ids_, p.filter(f"cosine >= {least}")).collect())) for p in (links, pairs))
+        assert one == two
