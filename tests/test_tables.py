@@ -652,3 +652,30 @@ def test_pairs_are_multiplied_by_blocks(spark, monkeypatch):
     for least in (0.2, 0.5, 0.6, 0.7):
         one, two = (sorted(map(tuple, components.connected_components(ids_, p.filter(f"cosine >= {least}")).collect())) for p in (links, pairs))
         assert one == two
+
+
+def test_packed_vectors_and_large_nodes(spark, monkeypatch):
+    """Packed vectors are the long ones, also in small parts; a tree is the same below large and small nodes."""
+    from lodestack.catalog_queries import all_vectors, packed_vectors
+    from lodestack.operators import packed
+
+    sf = "/root/testdata/sf0.001"
+    long = {(r.id, r.term): r.weight for r in all_vectors(spark, sf).collect()}
+
+    def unpacked(p):
+        rows = p.rows.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("x")).select("id", F.col("x.terms").alias("number"), F.col("x.weights").alias("w"))
+        return {(r.id, r.term): r.w for r in rows.join(p.names, "number").collect()}
+
+    found = packed_vectors(spark, sf)
+    got = unpacked(found)
+    assert set(got) == set(long) and all(abs(got[k] - w) < 1e-9 for k, w in long.items())
+    monkeypatch.setattr(packed, "TOKENS_AT_ONCE", 500)
+    monkeypatch.setattr(packed, "TERMS_AT_ONCE", found.width // 3)
+    got = unpacked(packed_vectors(spark, sf))
+    assert set(got) == set(long) and all(abs(got[k] - w) < 1e-9 for k, w in long.items())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"))
+    whole = sorted(tuple(sorted(r.docs)) for r in cluster.document_tree(found, docs)[1].groupBy("node_id").agg(F.collect_list("document_id").alias("docs")).collect())
+    monkeypatch.setattr(cluster, "IN_TASK", 150)
+    monkeypatch.setattr(cluster, "MOST_SUMS", 0)
+    bridge = cluster.document_tree(found, docs)[1]
+    assert sorted(tuple(sorted(r.docs)) for r in bridge.groupBy("node_id").agg(F.collect_list("document_id").alias("docs")).collect()) == whole
