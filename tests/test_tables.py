@@ -679,3 +679,13 @@ def test_packed_vectors_and_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(cluster, "MOST_SUMS", 0)
     bridge = cluster.document_tree(found, docs)[1]
     assert sorted(tuple(sorted(r.docs)) for r in bridge.groupBy("node_id").agg(F.collect_list("document_id").alias("docs")).collect()) == whole
+
+
+def test_rows_of_one_id_are_one_packed_vector(spark, tmp_path):
+    from lodestack.catalog_queries import all_vectors, packed_vectors
+
+    texts = [(i // 2, f"{a} {b} {a}") for i, (a, b) in enumerate([("apple", "plum"), ("pear", "apple"), ("plum", "pear"), ("fig", "apple"), ("fig", "plum"), ("pear", "fig")])]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((r.id, round(r.weight, 9)) for r in all_vectors(spark, str(tmp_path)).collect())
+    got = sorted((r.id, round(w, 9)) for r in packed_vectors(spark, str(tmp_path)).rows.collect() for w in r.weights)
+    assert got == want and len(got) > 3
